@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import quality_compression
+from siltstone.llm import decontamination, quality_compression
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_winnowing": decontamination.op5_winnowing,
     "op10_quality_compression": quality_compression.op10_quality_compression,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_winnowing": decontamination.window_sql(),
+}
