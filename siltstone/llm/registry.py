@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, quality_compression
+from siltstone.llm import decontamination, pii_feistel, quality_compression
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii_feistel": pii_feistel.op3_pii_feistel,
     "op5_winnowing": decontamination.op5_winnowing,
     "op10_quality_compression": quality_compression.op10_quality_compression,
 }
