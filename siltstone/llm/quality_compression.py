@@ -16,6 +16,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -93,14 +94,21 @@ def learnable(doc_id: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, p: Params) -> list[tuple[str, int]]:
-    """The bounded training sample as (text, label), in a fixed order."""
+    """The bounded training sample as (text, label), in a fixed order: about ``per_class`` labelled
+    ids of each class by a hash threshold, at most twice as many, then their texts. Only ids, whose
+    number is bounded, are broadcast; no text is shuffled."""
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
+    ids = labels.select("doc_id", F.col("quality").cast("int").alias("label")).dropna().filter(learnable())
+    counts = {r["label"]: r["count"] for r in ids.filter(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
+    taken = [ids.filter((F.col("label") == k) & (draw < int(min(1, p.per_class / n) * (1 << 30)))).limit(2 * p.per_class) for k, n in counts.items()]
+    if not taken:
+        return []
+    chosen = F.broadcast(reduce(DataFrame.unionByName, taken))
     rows = (
-        docs.select("doc_id", "text").join(labels.select(F.col("doc_id"), F.col("quality").alias("label")).dropna(), "doc_id")
-        .filter(learnable() & F.col("text").isNotNull() & (F.octet_length("text") <= p.max_bytes))
-        .select("label", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+        docs.select("doc_id", "text").filter(F.octet_length("text") <= p.max_bytes).join(chosen, "doc_id")
+        .select("label", "text", draw.alias("h")).limit(4 * p.per_class).collect()
     )
-    taken = [rows.filter(F.col("label") == k).orderBy("h", "text").limit(p.per_class) for k in (0, 1)]
-    return [(r["text"], int(r["label"])) for part in taken for r in part.collect()]
+    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["label"], r["h"], r["text"]))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
