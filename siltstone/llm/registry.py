@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, pii_feistel, quality_compression
+from siltstone.llm import decontamination, pii_feistel, quality_compression, quality_fertility
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii_feistel": pii_feistel.op3_pii_feistel,
+    "op4_tokeniser_fertility": quality_fertility.op4_tokeniser_fertility,
     "op5_winnowing": decontamination.op5_winnowing,
     "op10_quality_compression": quality_compression.op10_quality_compression,
 }
