@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, pii_feistel, piece_lattice, quality_compression, quality_fertility
+from siltstone.llm import decontamination, ngram_jaccard, pii_feistel, piece_lattice, quality_compression, quality_fertility
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_lattice": piece_lattice.op1_piece_lattice,
     "op3_pii_feistel": pii_feistel.op3_pii_feistel,
     "op4_tokeniser_fertility": quality_fertility.op4_tokeniser_fertility,
     "op5_winnowing": decontamination.op5_winnowing,
+    "op6_ngram_jaccard": ngram_jaccard.op6_ngram_jaccard,
     "op10_quality_compression": quality_compression.op10_quality_compression,
 }
 
 SQL: dict[str, str] = {
     "op5_winnowing": decontamination.window_sql(),
+    "op6_ngram_jaccard": ngram_jaccard.jaccard_sql(),
 }
