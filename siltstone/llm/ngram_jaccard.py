@@ -11,14 +11,11 @@ Classes are joined exactly:
    their first n - ceil(threshold n) + 1 of that order. Pairs pass the size filter, the position
    filter, and a filter by 512 parity bits per set, whose difference in bits is at most the
    sets' difference.
-3. Counting. The sets of classes that share such an n-gram at all are stored by fragment. A pair
-   is counted in each fragment alone, and the partial overlaps are summed per pair: no task
-   holds a whole long text's set, and a pair links if its sum reaches the threshold.
+3. Counting. A pair that is left is counted in each fragment alone, and the partial overlaps are
+   summed per pair: rows hold parts of sets, and a pair links if its sum reaches the threshold.
 
-A group of g near copies has g * g pairs, of which connectivity needs few. So pairs are made in
-rounds: for each shared n-gram and size class the most central class (the one whose n-grams are
-most shared) is paired with the others; its links are counted and merged into components. At the end all pairs of
-different components are made, so no link between components is lost: components are exact.
+Candidates and counting are in set_join: a group of near copies is linked by its central members
+first, then all pairs of different components are made, so components are exact.
 
 Defined results: null texts and texts without words have empty sets and link with nothing; a
 text of fewer words than n has its word sequence as its only n-gram; repeated rows are one class; a
@@ -28,18 +25,18 @@ not read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, drop_cut, shared_dir, small_batches, table
+from siltstone.llm.common import cut, drop_cut, small_batches, table
 from siltstone.llm.components import components
-from siltstone.llm.textkit import mix, shingle_sets
+from siltstone.llm.set_join import BITS, digest, is_needed, linked, parity
+from siltstone.llm.textkit import shingle_sets
 
 
 @dataclass(frozen=True)
@@ -50,44 +47,36 @@ class Params:
     least: int = 90
     per: int = 100
     fragments: int = 8
-    cells: int = 1 << 18
+    cells: int = 1 << 20
     rounds: int = 3
 
 
-BITS = 8  # 64-bit words of the parity filter
-NEEDED = 1 << 22  # bits of the filter of classes that have candidates
-
-
-def _digest(h: np.ndarray) -> bytes:
-    """Digest of a set of hashes: size and two independent sums, mixed."""
-    n = np.uint64(len(h))
-    a = mix(np.array([mix(h + np.uint64(0x51)).sum(dtype=np.uint64) + n], np.uint64))
-    b = mix(np.array([mix(h ^ np.uint64(0xA076_1D64_78BD_642F)).sum(dtype=np.uint64) ^ n], np.uint64))
-    return a.tobytes() + b.tobytes()
+BLOCK = 1 << 12  # counters in a row
 
 
 def digests(docs: DataFrame, p: Params) -> DataFrame:
-    """One row (doc_id, n, sig) per document row, and rows (cell, count) of each task's counters."""
+    """One row (doc_id, n, sig) per document row, and each task's counters in blocks of BLOCK
+    cells (block, counts)."""
     small_batches(docs.sparkSession)
     shift = np.uint64(64 - (p.cells - 1).bit_length())
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("cell", pa.int32()), ("count", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("block", pa.int32()), ("counts", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(p.cells, dtype=np.int64)
+        counts = np.zeros(p.cells, dtype=np.int32)
         for batch in batches:
             n, sig = [], []
             for _, h in shingle_sets(batch.column(1).to_pylist(), p.n):
-                np.add.at(counts, (h >> shift).astype(np.int64), 1) if len(h) < 4096 else np.add(counts, np.bincount((h >> shift).astype(np.int64), minlength=p.cells), out=counts)
+                np.add.at(counts, (h >> shift).astype(np.int64), 1)
                 n.append(len(h))
-                sig.append(_digest(h))
+                sig.append(digest(h))
             k = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], schema=schema)
-        cells = np.flatnonzero(counts)
-        for i in range(0, len(cells), 16384):
-            c = cells[i : i + 16384]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.int64()), pa.nulls(len(c), pa.int64()), pa.nulls(len(c), pa.binary()), pa.array(c.astype(np.int32)), pa.array(counts[c])], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int32()))], schema=schema)
+        whole = counts.reshape(-1, BLOCK)
+        used = np.flatnonzero(whole.any(axis=1))
+        for i in used:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([whole[i]], pa.list_(pa.int32()))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sig binary, cell int, count bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sig binary, block int, counts array<int>")
 
 
 class Order:
@@ -115,13 +104,6 @@ def _prefix_length(n: int, p: Params) -> int:
     return n - -(-p.least * n // p.per) + 1
 
 
-def _parity(h: np.ndarray) -> np.ndarray:
-    """BITS words; bit i is the parity of the number of elements that fall on it."""
-    at = (mix(h ^ np.uint64(0xD6E8_FEB8_6659_FD93)) >> np.uint64(55)).astype(np.int64)
-    odd = (np.bincount(at, minlength=64 * BITS) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64)
-
-
 def prefixes(docs: DataFrame, order, p: Params) -> DataFrame:
     """(sig, n, prefix, b0..b7) per document row whose set can link to another set at all."""
     names = [f"b{i}" for i in range(BITS)]
@@ -135,7 +117,7 @@ def prefixes(docs: DataFrame, order, p: Params) -> DataFrame:
                 # below this size every unequal pair misses the threshold
                 if p.per * len(h) >= p.least * (len(h) + 1):
                     first = order.value.sort(h)[: _prefix_length(len(h), p)]
-                    rows.append((_digest(h), len(h), first.view(np.int64), _parity(h)))
+                    rows.append((digest(h), len(h), first.view(np.int64), parity(h)))
             if rows:
                 bits = np.array([r[3] for r in rows])
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), *[pa.array(bits[:, i]) for i in range(BITS)]], schema=out)
@@ -143,128 +125,54 @@ def prefixes(docs: DataFrame, order, p: Params) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema)
 
 
-def segments(docs: DataFrame, needed: bytes, order, p: Params) -> DataFrame:
-    """(seg, grams): the sets of the documents in the filter ``needed``, by fragment; seg is the
-    set's digest and the fragment's number."""
+def segments(docs: DataFrame, needed: np.ndarray, order, p: Params) -> DataFrame:
+    """(seg, grams): the sets in the filter ``needed``, by fragment; seg is the set's digest and the
+    fragment's number."""
     bits = docs.sparkSession.sparkContext.broadcast(needed)
     out = pa.schema([("seg", pa.binary()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(bits.value, dtype=np.uint8)
         for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False)
-            chosen = np.flatnonzero((known[at >> 3] >> (at & 7)) & 1)
-            if len(chosen):
-                texts = batch.column(1).take(pa.array(chosen)).to_pylist()
-                rows = [(_digest(h) + bytes([k]), g.view(np.int64)) for _, h in shingle_sets(texts, p.n) for k, g in enumerate(order.value.cut(h, p.fragments)) if len(g)]
+            rows = []
+            for _, h in shingle_sets(batch.column(0).to_pylist(), p.n):
+                sig = digest(h)
+                if is_needed(sig, bits.value):
+                    rows += [(sig + bytes([k]), g.view(np.int64)) for k, g in enumerate(order.value.cut(h, p.fragments)) if len(g)]
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], schema=out)
 
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED)).cast("int")
-    return docs.filter("doc_id is not null").select(place.alias("place"), "text").mapInArrow(run, "seg binary, grams array<bigint>")
-
-
-def _reaches(overlap: Column, p: Params) -> Column:
-    """Whether the overlap is enough for sets of na and nb elements."""
-    return (p.per + p.least) * overlap >= p.least * (F.col("na") + F.col("nb"))
+    return docs.select("text").mapInArrow(run, "seg binary, grams array<bigint>")
 
 
-def _may_link(p: Params) -> Column:
-    """Size, position and parity filters of a candidate (na, nb, ia, ib, a0.., b0..)."""
-    na, nb = F.col("na"), F.col("nb")
-    size = p.per * F.least(na, nb) >= p.least * F.greatest(na, nb)
-    place = _reaches(1 + F.least(na - F.col("ia"), nb - F.col("ib")), p)
-    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, BITS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    # overlap <= (na + nb - difference) / 2
-    parity = (p.per + p.least) * (na + nb - differ) >= 2 * p.least * (na + nb)
-    return size & place & parity
-
-
-def _side(rows: DataFrame, s: str, *keep: str) -> DataFrame:
-    return rows.select(*keep, F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("i").alias(f"i{s}"), *[F.col(f"b{i}").alias(f"{s}{i}") for i in range(BITS)])
-
-
-def count_links(pairs: DataFrame, stored: DataFrame, p: Params) -> DataFrame:
-    """(u, v) of the pairs (a, b, na, nb) that link: partial overlaps by fragment, then their sum."""
-    parts = pairs.select("a", "b", "na", "nb", F.explode(F.array(*[F.lit(bytes([k])) for k in range(p.fragments)])).alias("k"))
-    left = stored.select(F.col("seg").alias("sa"), F.col("grams").alias("ga"))
-    right = stored.select(F.col("seg").alias("sb"), F.col("grams").alias("gb"))
-    both = parts.withColumn("sa", F.concat("a", "k")).join(left, "sa").withColumn("sb", F.concat("b", "k")).join(right, "sb")
-    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
-    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o")).filter(_reaches(F.col("o"), p)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
-def _pairs(candidates: DataFrame, p: Params) -> DataFrame:
-    return candidates.filter(_may_link(p)).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+def _counters(raw: DataFrame, p: Params) -> np.ndarray:
+    """The counters summed over all tasks, as one array of fixed size."""
+    cells = raw.filter("block is not null").select((F.col("block") * BLOCK).alias("at"), F.posexplode("counts").alias("i", "c"))
+    total = cells.filter("c > 0").groupBy((F.col("at") + F.col("i")).alias("cell")).agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(p.cells, dtype=np.int64)
+    counts[total["cell"].to_numpy()] = total["c"].to_numpy()
+    return counts
 
 
 def classes(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sig) per document row, and (node, root) for every class that links to another:
     sets are named by their digests."""
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     raw = cut(digests(docs, p))
     rows = raw.filter("sig is not null").select("doc_id", "n", "sig")
-    counts = np.zeros(p.cells, dtype=np.int64)
-    for r in raw.filter("cell is not null").groupBy("cell").agg(F.sum("count").alias("c")).collect():  # at most ``cells`` rows
-        counts[r["cell"]] = r["c"]
     nothing = spark.createDataFrame([], "u binary, v binary")
+    counts = _counters(raw, p)
     if not counts.any():
         return rows, components(nothing)
     order = spark.sparkContext.broadcast(Order(counts, p))
-    firsts = [F.first(c).alias(c) for c in ("n", "prefix", *[f"b{i}" for i in range(BITS)])]
-    nodes = cut(prefixes(docs, order, p).groupBy("sig").agg(*firsts))
-    own = nodes.select("sig", "n", F.posexplode("prefix").alias("i", "gram")).withColumn("i", F.col("i") + 1)
-    shared = own.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1")
-    places = cut(own.join(shared, "gram"))  # (gram, sig, n, i, c)
-    central = places.groupBy("sig").agg(F.sum(F.log2("c")).alias("w")).join(nodes, "sig").select("sig", (F.col("w") / F.size("prefix")).alias("w"), *[f"b{i}" for i in range(BITS)])
-    central = cut(central)
-
-    reps = rows.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(central.select("sig"), "sig", "left_semi")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED)).cast("int")
-    words = reps.filter("doc_id is not null").select(place.alias("h")).groupBy(F.shiftright("h", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, h & 31))").alias("x")).collect()
-    needed = np.zeros(NEEDED // 32, dtype=np.uint32)
-    for r in words:  # at most NEEDED / 32 rows
-        needed[r["w"]] = r["x"]
-    name, buckets = f"segments_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = segments(docs, needed.tobytes(), order, p).repartition(buckets, "seg").dropDuplicates(["seg"])
-    made.write.bucketBy(buckets, "seg").sortBy("seg").format("parquet").option("path", shared_dir(spark)).saveAsTable(name)
-    stored = spark.table(name)
-
-    step = float(np.log(p.per / p.least))
-    size_class = F.floor(F.log(F.col("n")) / step)
-    links, labels = cut(nothing), None
-    for r in range(p.rounds):
-        known = places.join(central, "sig").withColumn("k", size_class)
-        if labels is not None:
-            known = known.join(labels.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        else:
-            known = known.withColumn("root", F.col("sig"))
-        # later rounds try the classes that have no link yet
-        open_ = known.filter(F.col("root") == F.col("sig")).join(labels.select(F.col("root").alias("sig")).distinct(), "sig", "left_anti") if r else known
-        best = open_.groupBy("gram", "k").agg(F.max_by(F.struct("sig", "n", "i", "root", *[f"b{i}" for i in range(BITS)]), F.struct("w", "sig")).alias("x")).select("gram", "k", "x.*")
-        hubs = _side(best, "a", "gram", "k", F.col("root").alias("ra")).withColumn("k", F.explode(F.array(F.col("k") - 1, "k", F.col("k") + 1)))
-        others = _side(known, "b", "gram", "k", F.col("root").alias("rb"))
-        pairs = _pairs(others.join(hubs, ["gram", "k"]).filter("ra <> rb"), p)
-        new = cut(count_links(pairs, stored, p))
-        if new.isEmpty():
-            break
-        links = cut(links.union(new))
-        labels = cut(components(links))
-    # what is left: pairs of different components, all of them
-    known = places.join(central, "sig")
-    if labels is not None:
-        known = known.join(labels.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    else:
-        known = known.withColumn("root", F.col("sig"))
-    mixed = known.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("gram")
-    known = cut(known.join(mixed, "gram"))
-    left, right = _side(known, "a", "gram", F.col("root").alias("ra")), _side(known, "b", "gram", F.col("root").alias("rb"))
-    rest = left.join(right, (left["gram"] == right["gram"]) & (left["ra"] < right["rb"]) & _may_link(p)).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
-    new = cut(count_links(rest, stored, p))
-    if not new.isEmpty():
-        labels = cut(components(links.union(new)))
-    spark.sql(f"drop table {name}")
-    drop_cut(nodes, places, central, known)
-    return rows, labels if labels is not None else components(nothing)
+    bits = [f"b{i}" for i in range(BITS)]
+    nodes = cut(prefixes(docs, order, p).groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "prefix", *bits)]))
+    own = nodes.select("sig", "n", F.posexplode("prefix").alias("i", "key")).withColumn("i", F.col("i") + 1)
+    shared = own.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    places = cut(own.join(shared, "key"))
+    labels = linked(places, nodes.withColumn("size", F.size("prefix")), lambda needed: segments(docs, needed, order, p), p)
+    drop_cut(nodes, places)
+    return rows, labels
 
 
 def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.llm import (
     decontamination,
     ngram_jaccard,
+    paragraph_minhash,
     pii_feistel,
     piece_lattice,
     quality_compression,
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_tokeniser_fertility": quality_fertility.op4_tokeniser_fertility,
     "op5_winnowing": decontamination.op5_winnowing,
     "op6_ngram_jaccard": ngram_jaccard.op6_ngram_jaccard,
+    "op8_paragraph_minhash": paragraph_minhash.op8_paragraph_minhash,
     "op9_warc_zstd": warc_zstd.op9_warc_zstd,
     "op10_quality_compression": quality_compression.op10_quality_compression,
 }
