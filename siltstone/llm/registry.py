@@ -16,6 +16,7 @@ from siltstone.llm import (
     quality_fertility,
     reply_trees,
     warc_zstd,
+    wrapper_induction,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_tokeniser_fertility": quality_fertility.op4_tokeniser_fertility,
     "op5_winnowing": decontamination.op5_winnowing,
     "op6_ngram_jaccard": ngram_jaccard.op6_ngram_jaccard,
+    "op7_wrapper_induction": wrapper_induction.op7_wrapper_induction,
     "op8_paragraph_minhash": paragraph_minhash.op8_paragraph_minhash,
     "op9_warc_zstd": warc_zstd.op9_warc_zstd,
     "op10_quality_compression": quality_compression.op10_quality_compression,
