@@ -102,24 +102,24 @@ def paths(nodes: DataFrame, p: Params = Params()) -> DataFrame:
     nodes = cut(nodes.select("conv_id", "node", "parent", "role", "text", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("ok"))
     # a missing parent makes a root
-    now = nodes.join(known, "parent", "left").select("node", F.when(F.col("ok"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
-    jumps, most = [cut(now)], nodes.count().bit_length() + 1
-    while len(jumps) <= most:
+    now = cut(nodes.join(known, "parent", "left").select("node", F.when(F.col("ok"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")))
+    done, jumps, most = now.filter("up is null"), [now.filter("up is not null")], nodes.count().bit_length() + 1
+    while len(jumps) <= most and not jumps[-1].isEmpty():
+        # only nodes that have not reached their root go on; after ``most`` rounds those are on cycles
         last = jumps[-1]
-        if last.filter("up is not null").isEmpty():
-            break
-        above = last.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        jumps.append(cut(last.join(above, "up", "left").select("node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"))))
-    done = jumps[-1].filter("up is null").select("node", "depth", "total")  # nodes on a cycle never end
-    leaves = done.join(nodes.select("conv_id", "node"), "node").join(nodes.select(F.col("parent").alias("node")), "node", "left_anti")
+        above = done.union(last).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
+        now = cut(last.join(above, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total")))
+        done = done.union(now.filter("up is null"))
+        jumps.append(now.filter("up is not null"))
+    leaves = done.select("node", "depth", "total").join(nodes.select("conv_id", "node"), "node").join(nodes.select(F.col("parent").alias("node")), "node", "left_anti")
     order = Window.partitionBy("conv_id").orderBy(F.desc("total"), "node")
     if p.branches is not None:
         leaves = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= p.branches)
     else:
         leaves = leaves.withColumn("rank", F.lit(None).cast("int"))
     on_path = cut(leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.col("depth").alias("pos"), F.col("total").alias("path_score"), "rank"))
-    for k, jump in enumerate(jumps[:-1]):
-        step = jump.filter("up is not null").select("node", "up")
+    for k, jump in enumerate(jumps):
+        step = jump.select("node", "up")
         higher = on_path.join(step, "node").select("conv_id", "leaf", F.col("up").alias("node"), (F.col("pos") - (1 << k)).alias("pos"), "path_score", "rank")
         on_path = cut(on_path.unionByName(higher))
     return on_path.join(nodes.select("node", "role", "text"), "node").select("conv_id", "leaf", "path_score", "rank", "pos", "role", "text")
