@@ -4,8 +4,7 @@ A document is its set of distinct word n-grams, 64-bit hashes each. Documents of
 one class from the start (set digests of 128 bits), so copies cost one row each and no pairs.
 Classes are joined exactly:
 
-1. Order. Occurrences of n-grams are counted over all documents in a sketch of fixed size
-   (``cells`` counters). The global order is by counter, rarest first, then by hash; the
+1. Order. Occurrences of n-grams are counted over all documents in a sketch of bounded size. The global order is by counter, rarest first, then by hash; the
    counters also cut it into ``fragments`` ranges that hold equally many occurrences.
 2. Candidates. Two sets with a Jaccard index of at least the threshold share an n-gram among
    their first n - ceil(threshold n) + 1 of that order. Pairs pass the size filter, the position
@@ -30,10 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, drop_cut, small_batches, table
+from siltstone.llm.common import cut, drop_cut, small_batches, table, text_bytes
 from siltstone.llm.components import components
 from siltstone.llm.set_join import BITS, digest, is_needed, linked, parity
 from siltstone.llm.textkit import shingle_sets
@@ -41,28 +41,31 @@ from siltstone.llm.textkit import shingle_sets
 
 @dataclass(frozen=True)
 class Params:
-    """Two sets link when ``per`` * intersection >= ``least`` * union."""
+    """Two sets link when ``per`` * intersection >= ``least`` * union. The sketch has a counter for
+    every ``cell_bytes`` of text, as a power of two, at most ``most_cells``."""
 
     n: int = 3
     least: int = 90
     per: int = 100
     fragments: int = 8
-    cells: int = 1 << 20
+    cell_bytes: int = 128
+    most_cells: int = 1 << 24
     rounds: int = 3
 
 
 BLOCK = 1 << 12  # counters in a row
+MERGED = 256  # blocks added at once
 
 
-def digests(docs: DataFrame, p: Params) -> DataFrame:
+def digests(docs: DataFrame, p: Params, cells: int) -> DataFrame:
     """One row (doc_id, n, sig) per document row, and each task's counters in blocks of BLOCK
-    cells (block, counts)."""
+    cells (part, block, counts)."""
     small_batches(docs.sparkSession)
-    shift = np.uint64(64 - (p.cells - 1).bit_length())
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("block", pa.int32()), ("counts", pa.list_(pa.int32()))])
+    shift = np.uint64(64 - (cells - 1).bit_length())
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("block", pa.int32()), ("counts", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(p.cells, dtype=np.int32)
+        counts, part = np.zeros(cells, dtype=np.int32), TaskContext.get().partitionId()
         for batch in batches:
             n, sig = [], []
             for _, h in shingle_sets(batch.column(1).to_pylist(), p.n):
@@ -70,33 +73,31 @@ def digests(docs: DataFrame, p: Params) -> DataFrame:
                 n.append(len(h))
                 sig.append(digest(h))
             k = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int32()))], schema=schema)
         whole = counts.reshape(-1, BLOCK)
         used = np.flatnonzero(whole.any(axis=1))
         for i in used:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([whole[i]], pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([part], pa.int32()), pa.array([i], pa.int32()), pa.array([whole[i]], pa.list_(pa.int32()))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sig binary, block int, counts array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sig binary, part int, block int, counts array<int>")
 
 
 class Order:
     """The global order of n-grams and its fragments, from the counters."""
 
     def __init__(self, counts: np.ndarray, p: Params) -> None:
-        self.shift = np.uint64(64 - (p.cells - 1).bit_length())
-        by_count = np.lexsort((np.arange(p.cells), counts))
-        self.rank = np.empty(p.cells, dtype=np.int32)
-        self.rank[by_count] = np.arange(p.cells, dtype=np.int32)
+        self.shift = np.uint64(64 - (len(counts) - 1).bit_length())
+        by_count = np.argsort(counts, kind="stable").astype(np.int32)
+        self.rank = np.empty(len(counts), dtype=np.int32)
+        self.rank[by_count] = np.arange(len(counts), dtype=np.int32)
         upto = np.cumsum(counts[by_count])
-        cuts = np.searchsorted(upto, upto[-1] * np.arange(1, p.fragments) / p.fragments)
-        self.fragment = np.zeros(p.cells, dtype=np.int8)
-        self.fragment[by_count] = np.searchsorted(cuts, np.arange(p.cells), side="right")
+        self.cuts = np.searchsorted(upto, upto[-1] * np.arange(1, p.fragments) / p.fragments)
 
     def sort(self, h: np.ndarray) -> np.ndarray:
         return h[np.lexsort((h, self.rank[(h >> self.shift).astype(np.int64)]))]
 
     def cut(self, h: np.ndarray, fragments: int) -> list[np.ndarray]:
-        f = self.fragment[(h >> self.shift).astype(np.int64)]
+        f = np.searchsorted(self.cuts, self.rank[(h >> self.shift).astype(np.int64)], side="right")
         return [h[f == k] for k in range(fragments)]
 
 
@@ -144,12 +145,23 @@ def segments(docs: DataFrame, needed: np.ndarray, order, p: Params) -> DataFrame
     return docs.select("text").mapInArrow(run, "seg binary, grams array<bigint>")
 
 
-def _counters(raw: DataFrame, p: Params) -> np.ndarray:
-    """The counters summed over all tasks, as one array of fixed size."""
-    cells = raw.filter("block is not null").select((F.col("block") * BLOCK).alias("at"), F.posexplode("counts").alias("i", "c"))
-    total = cells.filter("c > 0").groupBy((F.col("at") + F.col("i")).alias("cell")).agg(F.sum("c").alias("c")).toArrow()
-    counts = np.zeros(p.cells, dtype=np.int64)
-    counts[total["cell"].to_numpy()] = total["c"].to_numpy()
+def _counters(raw: DataFrame, cells: int) -> np.ndarray:
+    """The counters summed over all tasks, as one array of fixed size. Blocks are added in groups of
+    at most MERGED, level by level, so no group grows with the number of tasks."""
+    now = raw.filter("block is not null").select("part", "block", "counts")
+    parts = (now.agg(F.max("part")).first()[0] or 0) + 1
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.stack([x.values.to_numpy() for x in t["counts"]]).sum(axis=0, dtype=np.int64)
+        return pa.table({"part": pa.array([t["part"][0].as_py()], pa.int32()), "block": pa.array([t["block"][0].as_py()], pa.int32()), "counts": pa.array([total], pa.list_(pa.int64()))})
+
+    while parts > 1:
+        now = now.withColumn("part", (F.col("part") / MERGED).cast("int")).groupBy("part", "block").applyInArrow(add, "part int, block int, counts array<bigint>")
+        parts = -(-parts // MERGED)
+    counts = np.zeros(cells, dtype=np.int64)
+    for batch in now.select("block", "counts").toArrow().to_batches():
+        for at, c in zip(batch["block"].to_pylist(), batch["counts"], strict=True):
+            counts[at * BLOCK : (at + 1) * BLOCK] = c.values.to_numpy()
     return counts
 
 
@@ -158,10 +170,11 @@ def classes(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame
     sets are named by their digests."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    raw = cut(digests(docs, p))
+    cells = min(p.most_cells, 1 << max(16, (text_bytes(docs, ["text"]) // p.cell_bytes).bit_length()))
+    raw = cut(digests(docs, p, cells))
     rows = raw.filter("sig is not null").select("doc_id", "n", "sig")
     nothing = spark.createDataFrame([], "u binary, v binary")
-    counts = _counters(raw, p)
+    counts = _counters(raw, cells)
     if not counts.any():
         return rows, components(nothing)
     order = spark.sparkContext.broadcast(Order(counts, p))

@@ -57,19 +57,23 @@ def reaches(overlap: Column, p) -> Column:
     return (p.per + p.least) * overlap >= p.least * (F.col("na") + F.col("nb"))
 
 
-def may_link(p) -> Column:
-    """Size, position and parity filters of a candidate (na, nb, ia, ib, a0.., b0..)."""
+def near_enough(p) -> Column:
+    """Size and position filters of a candidate (na, nb, ia, ib)."""
     na, nb = F.col("na"), F.col("nb")
     size = p.per * F.least(na, nb) >= p.least * F.greatest(na, nb)
-    place = reaches(1 + F.least(na - F.col("ia"), nb - F.col("ib")), p)
+    return size & reaches(1 + F.least(na - F.col("ia"), nb - F.col("ib")), p)
+
+
+def parity_allows(p) -> Column:
+    """Parity filter of a pair (na, nb, a0.., b0..): overlap <= (na + nb - difference) / 2."""
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, BITS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    # overlap <= (na + nb - difference) / 2
-    parity = (p.per + p.least) * (na + nb - differ) >= 2 * p.least * (na + nb)
-    return size & place & parity
+    size = F.col("na") + F.col("nb")
+    return (p.per + p.least) * (size - differ) >= 2 * p.least * size
 
 
-def _side(rows: DataFrame, s: str, *keep: str) -> DataFrame:
-    return rows.select(*keep, F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("i").alias(f"i{s}"), *[F.col(f"b{i}").alias(f"{s}{i}") for i in range(BITS)])
+def _side(rows: DataFrame, s: str, *keep: str | Column, bits: bool = False) -> DataFrame:
+    own = [F.col(f"b{i}").alias(f"{s}{i}") for i in range(BITS)] if bits else []
+    return rows.select(*keep, F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("i").alias(f"i{s}"), *own)
 
 
 def count_links(pairs: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], p) -> DataFrame:
@@ -89,46 +93,56 @@ def count_links(pairs: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], p)
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o")).filter(reaches(F.col("o"), p)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _pairs(candidates: DataFrame, p) -> DataFrame:
-    return candidates.filter(may_link(p)).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+def _distinct(candidates: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """(a, b, na, nb), each pair once with a < b, without those that were counted before."""
+    low, high = (f(F.struct("a", "na"), F.struct(F.col("b").alias("a"), F.col("nb").alias("na"))) for f in (F.least, F.greatest))
+    once = candidates.select(low.alias("x"), high.alias("y")).distinct().select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.na").alias("na"), F.col("y.na").alias("nb"))
+    return once if tried is None else once.join(tried, ["a", "b"], "left_anti")
 
 
 def linked(places: DataFrame, nodes: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], p) -> DataFrame:
     """(node, root) of every set that links to another. ``nodes`` has (sig, size, b0, ...): size is
     the number of the set's keys."""
     bits = [f"b{i}" for i in range(BITS)]
-    central = places.groupBy("sig").agg(F.sum(F.log2("c")).alias("w")).join(nodes, "sig").select("sig", (F.col("w") / F.col("size")).alias("w"), *bits)
-    central = cut(central)
-    drop = [central]
     step = float(np.log(p.per / p.least))
+    central = cut(places.groupBy("sig").agg(F.sum(F.log2("c")).alias("w")).join(nodes, "sig").select("sig", (F.col("w") / F.col("size")).cast("float").alias("w"), *bits))
+    known = cut(places.join(central.select("sig", "w"), "sig").select("key", "sig", "n", "i", "w", F.floor(F.log("n") / step).cast("int").alias("k"), F.col("sig").alias("root")))
+    a_bits = central.select(F.col("sig").alias("a"), *[F.col(b).alias(f"a{i}") for i, b in enumerate(bits)])
+    b_bits = central.select(F.col("sig").alias("b"), *bits)
+    links, labels, tried, drop = cut(places.sparkSession.createDataFrame([], "u binary, v binary")), None, None, [central]
 
-    def rooted(labels: DataFrame | None) -> DataFrame:
-        known = places.join(central, "sig").withColumn("k", F.floor(F.log("n") / step))
-        if labels is None:
-            return known.withColumn("root", F.col("sig"))
-        return known.join(labels.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-
-    links, labels = cut(places.sparkSession.createDataFrame([], "u binary, v binary")), None
     for _ in range(p.rounds):
-        known = rooted(labels)
-        free = known if labels is None else known.join(labels.select(F.col("node").alias("sig")), "sig", "left_anti")
-        best = free.groupBy("key", "k").agg(F.max_by(F.struct("sig", "n", "i", "root", *bits), F.struct("w", "sig")).alias("x")).select("key", "k", "x.*")
-        hubs = _side(best, "a", "key", "k", F.col("root").alias("ra")).withColumn("k", F.explode(F.array(F.col("k") - 1, "k", F.col("k") + 1)))
+        # in each key and size class the most central set without a link meets the others
+        best = known.filter(F.col("root") == F.col("sig")).groupBy("key", "k").agg(F.max(F.struct("w", "sig", "n", "i")).alias("x")).select("key", "k", "x.*")
+        hubs = _side(best, "a", "key", F.explode(F.array(F.col("k") - 1, "k", F.col("k") + 1)).alias("k"))
         others = _side(known, "b", "key", "k", F.col("root").alias("rb"))
-        pairs = cut(_pairs(others.join(hubs, ["key", "k"]).filter("ra <> rb"), p))
+        pairs = _distinct(others.join(hubs, ["key", "k"]).filter((F.col("a") != F.col("rb")) & near_enough(p)), tried)
+        pairs = cut(pairs.join(a_bits, "a").join(b_bits, "b").filter(parity_allows(p)).select("a", "b", "na", "nb"))
+        drop.append(pairs)
+        if pairs.isEmpty():
+            break
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
         new = cut(count_links(pairs, sets_of, p))
-        drop += [pairs, new]
+        drop.append(new)
         if new.isEmpty():
             break
         links = cut(links.union(new))
         labels = cut(components(links))
-    known = rooted(labels)
-    mixed = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    known = cut(known.join(mixed, "key"))
-    left, right = _side(known, "a", "key", F.col("root").alias("ra")), _side(known, "b", "key", F.col("root").alias("rb"))
-    rest = cut(_pairs(left.join(right, (left["key"] == right["key"]) & (left["ra"] < right["rb"]) & may_link(p)), p))
-    new = cut(count_links(rest, sets_of, p))
-    if not new.isEmpty():
-        labels = cut(components(links.union(new)))
-    drop_cut(*drop, known, rest)
+        # keys of one component have nothing left to find
+        rooted = known.drop("root").join(labels.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+        drop.append(known)
+        known = cut(rooted.join(mixed, "key"))
+    # what is left: all pairs of different components
+    wide = known.join(central.drop("w"), "sig")
+    left, right = _side(wide, "a", "key", F.col("root").alias("ra"), bits=True), _side(wide, "b", "key", F.col("root").alias("rb"), bits=True)
+    other = (left["key"] == right["key"]) & (left["ra"] < right["rb"]) & near_enough(p) & parity_allows(p)
+    rest = cut(_distinct(left.join(right, other), tried))
+    drop += [known, rest]
+    if not rest.isEmpty():
+        new = cut(count_links(rest, sets_of, p))
+        drop.append(new)
+        if not new.isEmpty():
+            labels = cut(components(links.union(new)))
+    drop_cut(*drop)
     return labels if labels is not None else components(links)
