@@ -4,7 +4,7 @@ A document is its set of distinct word n-grams, 64-bit hashes each. Documents of
 one class from the start (set digests of 128 bits), so copies cost one row each and no pairs.
 Classes are joined exactly:
 
-1. Order. Occurrences of n-grams are counted over all documents in a sketch of bounded size. The global order is by counter, rarest first, then by hash; the
+1. Order. Occurrences of n-grams are counted over all documents in a sketch of fixed size. The global order is by counter, rarest first, then by hash; the
    counters also cut it into ``fragments`` ranges that hold equally many occurrences.
 2. Candidates. Two sets with a Jaccard index of at least the threshold share an n-gram among
    their first n - ceil(threshold n) + 1 of that order. Pairs pass the size filter, the position
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, drop_cut, small_batches, table, text_bytes
+from siltstone.llm.common import cut, drop_cut, small_batches, table
 from siltstone.llm.components import components
 from siltstone.llm.set_join import BITS, digest, is_needed, linked, parity
 from siltstone.llm.textkit import shingle_sets
@@ -41,15 +41,14 @@ from siltstone.llm.textkit import shingle_sets
 
 @dataclass(frozen=True)
 class Params:
-    """Two sets link when ``per`` * intersection >= ``least`` * union. The sketch has a counter for
-    every ``cell_bytes`` of text, as a power of two, at most ``most_cells``."""
+    """Two sets link when ``per`` * intersection >= ``least`` * union.
+    ``cells``, a power of two, is the size of each task's sketch, so sketches grow as the input does."""
 
     n: int = 3
     least: int = 90
     per: int = 100
     fragments: int = 8
-    cell_bytes: int = 128
-    most_cells: int = 1 << 24
+    cells: int = 1 << 21
     rounds: int = 3
 
 
@@ -170,11 +169,10 @@ def classes(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame
     sets are named by their digests."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    cells = min(p.most_cells, 1 << max(16, (text_bytes(docs, ["text"]) // p.cell_bytes).bit_length()))
-    raw = cut(digests(docs, p, cells))
+    raw = cut(digests(docs, p, p.cells))
     rows = raw.filter("sig is not null").select("doc_id", "n", "sig")
     nothing = spark.createDataFrame([], "u binary, v binary")
-    counts = _counters(raw, cells)
+    counts = _counters(raw, p.cells)
     if not counts.any():
         return rows, components(nothing)
     order = spark.sparkContext.broadcast(Order(counts, p))
