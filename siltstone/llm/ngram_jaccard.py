@@ -200,9 +200,13 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, p: Params = Params()) -> DataFrame:
-    """Pipeline stage: of every component the document of least doc_id stays, once; rows that
-    share that id but not their text stay both."""
+#: The pipeline stage's own threshold; Params' defaults are op6's contract.
+STAGE = Params(n=5, least=80)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, p: Params = STAGE) -> DataFrame:
+    """Pipeline stage: of every component at five words and 0.8 the document of least doc_id stays,
+    once; rows that share that id but not their text stay both."""
     kept = groups(docs, p).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
 

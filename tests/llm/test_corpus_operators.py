@@ -302,3 +302,22 @@ def test_pipeline_equals_its_steps_by_hand(spark, docs, folder):
         assert r["lossless"] and lattice.decode(r["ids"]) == (texts[r["doc_id"]] or "")
     assert decontamination.Params().share == 20 and clean.filter(F.col("text").contains("question3")).count() == 0
     assert coded.count() == len(whole)
+
+
+def test_the_pipeline_drops_copies_of_five_word_jaccard_over_080(spark, docs):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    copy = base[:]
+    for k in (30, 80, 130, 180):
+        copy[k] = f"changed{k}"
+    a, b = ({tuple(t[j : j + 5]) for j in range(196)} for t in (base, copy))
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    a, b = ({tuple(t[j : j + 3]) for j in range(198)} for t in (base, copy))
+    assert len(a & b) / len(a | b) < 0.9
+    far = base[:]
+    for k in range(10, 200, 20):
+        far[k] = f"far{k}"
+    rows = docs([(3, " ".join(copy)), (1, " ".join(base)), (5, " ".join(far))])
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
+    assert {r["doc_id"] for r in stage(spark, rows, "").collect()} == {1, 5}
+    assert {r["component_id"] for r in ngram_jaccard.groups(rows).collect()} == {1, 3, 5}
