@@ -1,25 +1,34 @@
 """Substring dedup: paragraphs that come again, word for word or nearly, are found and removed.
 
-Paragraphs are the lines of a text with at least ``min_words`` words. Equal ones (the same set of
+Paragraphs are the lines of a text with at least ``min_words`` words, and runs of shorter lines joined
+until they have as many; such a run ends at a blank line or after a line whose hash says so. Equal ones (the same set of
 five-word shingles) are one class from the start, however many copies there are. Each class has
 ``bands`` keys of ``rows`` MinHash values; with 12 bands of 3, two paragraphs of similarity 0.8
 meet in some band with probability 1 - (1 - 0.8^3)^12 > 0.9998. Colliding paragraphs are verified by
 their exact Jaccard index and clustered by components (set_join makes no pairs of a whole group at
 once). In each cluster the first occurrence, by doc_id and line, stays; the others are removed.
 
-Defined results: null and empty texts have no paragraphs; repeated rows are further occurrences
+In what is left, every passage of ``passage`` words or more that comes again word for word goes too,
+wherever lines begin and end (``passages``): hashes of half that length are winnowed so that each such passage has
+one, and where that occurs twice all its windows of ``passage`` words are compared. Only the words covered go.
+
+A row is a line to remove, or with ``start`` and ``end`` its characters from start to end.
+
+Defined results: a window that overlaps its own repetition, as in "same same same", counts only
+against other lines and texts; null and empty texts have no paragraphs; repeated rows are further occurrences
 of their paragraphs, except that equal (doc_id, line, paragraph) count once; a null doc_id comes
-last; shorter lines are never touched; other columns are not read.
+last; shorter lines go only in runs or passages; other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import cut, drop_cut, small_batches, table
@@ -39,18 +48,46 @@ class Params:
     per: int = 100
     rounds: int = 3
     fragments: int = 1
+    passage: int = 51
+
+
+FILTER = 1 << 27  # bits of the filter of winnowed hashes that come again
+
 
+def units(text: str, p: Params) -> Iterator[tuple[int, list[int], str]]:
+    """(first line, words of each line, text) of every paragraph."""
+    run: list[tuple[int, str]] = []
 
-def paragraphs(texts: list[str | None], p: Params) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(index of the text, line, words, sorted distinct shingle hashes) of every paragraph."""
-    where = [(t, k) for t, text in enumerate(texts) for k in range((text or "").count("\n") + 1) if text]
-    lines = [line for text in texts if text for line in text.split("\n")]
-    for first, run in blocks(lines):
+    def joined(first: int) -> Iterator[tuple[int, list[int], str]]:
+        while run and not run[-1][0]:
+            run.pop()
+        if sum(c for c, _ in run) >= p.min_words:
+            yield first, [c for c, _ in run], "\n".join(x for _, x in run)
+        run.clear()
+
+    first = 0
+    for k, line in enumerate(text.split("\n")):
+        words = line.encode("utf-8", "surrogatepass").split()
+        if len(words) >= p.min_words:
+            yield from joined(first)
+            yield k, [len(words)], line
+        elif run or words:
+            first = first if run else k
+            run.append((len(words), line))
+            if (not words or zlib.crc32(b" ".join(words).lower()) % 8 == 0) and sum(c for c, _ in run) >= p.min_words:
+                yield from joined(first)
+    yield from joined(first)
+
+
+def paragraphs(texts: list[str | None], p: Params) -> Iterator[tuple[int, int, list[int], np.ndarray]]:
+    """(index of the text, line, words of each line, sorted distinct shingle hashes) of every paragraph."""
+    found = [(t, *u) for t, text in enumerate(texts) if text for u in units(text, p)]
+    for first, run in blocks([u[3] for u in found]):
         w = Words(run, NOT_SPACE)
         h, at = w.grams(p.n)
         bounds = np.searchsorted(at, w.first)
         for d in np.flatnonzero(np.diff(w.first) >= max(p.min_words, p.n)):
-            yield *where[first + d], int(w.first[d + 1] - w.first[d]), np.unique(h[bounds[d] : bounds[d + 1]])
+            yield *found[first + d][:3], np.unique(h[bounds[d] : bounds[d + 1]])
 
 
 def _seeds(k: int) -> np.ndarray:
@@ -88,13 +125,13 @@ def _map(docs: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, line, n_words, sig) of every paragraph."""
+    """(doc_id, line, words, sig) of every paragraph; words are those of each of its lines."""
 
     def make(ids: list, texts: list) -> list | None:
         rows = [(ids[t], k, words, digest(h)) for t, k, words, h in paragraphs(texts, p)]
         return list(zip(*rows, strict=True)) if rows else None
 
-    return _map(docs, ["doc_id", "text"], "doc_id bigint, line int, n_words int, sig binary", make)
+    return _map(docs, ["doc_id", "text"], "doc_id bigint, line int, words array<int>, sig binary", make)
 
 
 def keyed(docs: DataFrame, p: Params) -> DataFrame:
@@ -129,9 +166,15 @@ def shingles(docs: DataFrame, needed: np.ndarray, p: Params) -> DataFrame:
 
 
 def repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, line, n_words, kept_doc_id, kept_line): every paragraph to remove, and the one of
-    its cluster that stays."""
+    """(doc_id, line, n_words, kept_doc_id, kept_line, start, end): every line to remove, or part
+    of one, and the place of what stays."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lines = cut(_lines(docs, p))
+    return lines.withColumns({"start": F.lit(None).cast("int"), "end": F.lit(None).cast("int")}).union(passages(docs, lines, p))
+
+
+def _lines(docs: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, line, n_words, kept_doc_id, kept_line) of the paragraphs to remove, by lines."""
     found = cut(occurrences(docs, p).distinct())
     nodes = cut(keyed(docs, p))
     own = nodes.select("sig", "n", F.explode("keys").alias("key"))
@@ -144,16 +187,128 @@ def repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     first = named.groupBy("cluster").agg(F.min(place).alias("kept"), F.count("*").alias("c")).filter("c > 1").drop("c")
     return (
         named.join(first, "cluster").filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line"))))
-        .select("doc_id", "line", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line"))
+        .select("doc_id", F.col("line").alias("_at"), "kept", F.posexplode("words").alias("_k", "n_words"))
+        .select("doc_id", (F.col("_at") + F.col("_k")).alias("line"), "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line"))
     )
 
 
+class Left:
+    """Words of a text without the lines in ``gone``."""
+
+    def __init__(self, text: str | None, gone: list[int] | None) -> None:
+        out = set(gone or ())
+        kept = [(k, x) for k, x in enumerate((text or "").split("\n")) if k not in out]
+        self.data = "\n".join(x for _, x in kept).encode("utf-8", "surrogatepass")
+        self.words = Words([self.data], NOT_SPACE)
+        breaks = np.flatnonzero(self.words.data == 10)
+        self.at = np.searchsorted(breaks, self.words.start)  # the line of each word, among those kept
+        self.begin = np.concatenate([[0], breaks + 1])
+        self.number = np.array([k for k, _ in kept], dtype=np.int64)
+
+    def windows(self, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(half-window hashes, least of each window, hash of each window)."""
+        half = -(-p.passage // 2)
+        h, _ = self.words.grams(half)
+        n = len(self.words) - p.passage + 1
+        if n <= 0:
+            return h, h[:0], h[:0]
+        least, width, span = h, 1, p.passage - half + 1
+        while 2 * width <= span:
+            least, width = np.minimum(least[:-width], least[width:]), 2 * width
+        rest = span - width
+        least = np.minimum(least[: len(least) - rest], least[rest:])[:n]
+        return h, least, mix(h[:n] * np.uint64(0x2545F4914F6CDD1D) + h[p.passage - half : p.passage - half + n])
+
+
+def _without(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, text, gone, ...): ``docs`` with the lines to remove."""
+    gone = lines.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("line").alias("gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_of"]), "left").select("doc_id", "text", "gone")
+
+
+def passages(docs: DataFrame, lines: DataFrame, p: Params) -> DataFrame:
+    """The rows of passages that come again in ``docs`` without ``lines``."""
+    left = cut(_without(docs, lines).distinct())
+
+    def winnowed(texts: list, gone: list) -> list | None:
+        got = []
+        for text, g in zip(texts, gone, strict=True):
+            _, least, _ = Left(text, g).windows(p)
+            if len(least):
+                got.append(least[np.concatenate([[True], least[1:] != least[:-1]])])
+        return [np.concatenate(got).view(np.int64)] if got else None
+
+    again = _map(left, ["text", "gone"], "h bigint", winnowed).groupBy("h").count().filter("count > 1").select((F.col("h").bitwiseAND(FILTER - 1)).alias("h"))
+    words = again.groupBy(F.shiftright("h", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 31 as int)))").alias("x")).toArrow()
+    needed = np.zeros(FILTER // 32, dtype=np.uint32)
+    needed[words["w"].to_numpy()] = words["x"].to_numpy()  # at most FILTER / 32 rows
+    bits = docs.sparkSession.sparkContext.broadcast(needed)
+
+    def candidates(ids: list, texts: list, gone: list) -> list | None:
+        rows: list[list] = [[], [], [], [], []]
+        for i, text, g in zip(ids, texts, gone, strict=True):
+            t = Left(text, g)
+            h, least, whole = t.windows(p)
+            x = (least & np.uint64(FILTER - 1)).astype(np.int64)
+            at = np.flatnonzero((bits.value[x >> 5] >> (x & 31).astype(np.uint32)) & np.uint32(1))
+            loops = np.zeros(len(at), dtype=bool)
+            for d in range(1, -(-p.passage // 2) + 1):
+                loops |= h[np.minimum(at + d, len(h) - 1)] == h[at]
+            for column, v in zip(rows, ([i] * len(at), at, t.number[t.at[at]], whole[at].view(np.int64), loops), strict=True):
+                column.extend(v)
+        return rows if rows[0] else None
+
+    found = cut(_map(left, ["doc_id", "text", "gone"], "doc_id bigint, pos int, line int, h bigint, loops boolean", candidates))
+    first = found.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos", "line")).alias("kept"), F.count("*").alias("c")).filter("c > 1")
+    there = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line"))
+    apart = ~F.col("loops") & (F.col("pos") - F.col("kept.pos") >= p.passage)
+    twice = found.join(first, "h").filter(~there | apart).groupBy("doc_id", "pos").agg(F.min("kept").alias("kept"))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    same = (F.lag("pos").over(order) == F.col("pos") - 1) & F.lag("kept.doc_id").over(order).eqNullSafe(F.col("kept.doc_id")) & (F.lag("kept.line").over(order) == F.col("kept.line"))
+    marked = twice.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    spans = marked.groupBy("doc_id", "_run").agg(F.min("pos").alias("a"), (F.max("pos") + p.passage).alias("b"), F.min_by("kept", "pos").alias("kept"))
+    by_doc = spans.groupBy(F.col("doc_id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("a", "b", F.col("kept.doc_id").alias("doc"), F.col("kept.line").alias("line")))).alias("spans"))
+
+    def rows_of(ids: list, texts: list, gone: list, spans: list) -> list | None:
+        rows = []
+        for i, text, g, own in zip(ids, texts, gone, spans, strict=True):
+            t, done = Left(text, g), 0
+            for s in own:
+                a, b = max(s["a"], done), min(s["b"], len(t.words))
+                while a < b:
+                    k = int(t.at[a])
+                    x, y = np.searchsorted(t.at, [k, k + 1])
+                    e = min(b, int(y))
+                    if a == x and e == y:
+                        place = (None, None)
+                    else:
+                        stop = t.words.start[e] if e < y else t.words.end[e - 1]
+                        place = tuple(len(t.data[t.begin[k] : z].decode("utf-8", "surrogatepass")) for z in (t.words.start[a], stop))
+                    rows.append((i, int(t.number[k]), e - a, s["doc"], s["line"], *place))
+                    a = e
+                done = max(done, b)
+        return list(zip(*rows, strict=True)) if rows else None
+
+    there = left.join(by_doc, left["doc_id"].eqNullSafe(by_doc["_of"]))
+    return _map(there, ["doc_id", "text", "gone", "spans"], "doc_id bigint, line int, n_words int, kept_doc_id bigint, kept_line int, start int, end int", rows_of)
+
+
 def remove(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` without the lines in ``repeated`` (doc_id, line)."""
-    lines = repeated.groupBy("doc_id").agg(F.collect_set("line").alias("_lines")).withColumnRenamed("doc_id", "_of")
+    """All rows and columns of ``docs`` without the lines and parts of lines in ``repeated``."""
+    lines = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("line", "start", "end")).alias("_lines")).withColumnRenamed("doc_id", "_of")
     joined = docs.join(lines, docs["doc_id"].eqNullSafe(lines["_of"]), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_lines", i))
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+
+    @F.udf("string")
+    def without(text: str | None, parts: list) -> str | None:
+        if text is None or not parts:
+            return text
+        out = text.split("\n")
+        for line, start, end in sorted(parts, key=lambda x: (x[0], x[1] or 0), reverse=True):
+            if line < len(out) and out[line] is not None:
+                out[line] = None if start is None else out[line][:start] + out[line][end:]
+        return "\n".join(x for x in out if x is not None)
+
+    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(without("text", "_lines"))
     return joined.select(*[text.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])
 
 

@@ -321,3 +321,21 @@ def test_the_pipeline_drops_copies_of_five_word_jaccard_over_080(spark, docs):
     stage = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
     assert {r["doc_id"] for r in stage(spark, rows, "").collect()} == {1, 5}
     assert {r["component_id"] for r in ngram_jaccard.groups(rows).collect()} == {1, 3, 5}
+
+
+def test_repeated_passages_are_found_across_short_lines_and_inside_long_ones(docs):
+    rng = random.Random(5)
+    new = lambda k: [f"n{rng.randrange(10**9)}" for _ in range(k)]
+    wrap = lambda w, k: "\n".join(" ".join(w[i : i + k]) for i in range(0, len(w), k))
+    a, b, c = new(60), new(60), new(60)
+    near = [x if i != 30 else "other" for i, x in enumerate(c)]
+    own = [" ".join(new(100)) for _ in range(4)]
+    pairs = [(1, wrap(a, 9)), (2, f"{own[0]}\né {wrap(a, 11)}"), (3, f"{own[1]} {' '.join(b)}"), (4, f"é {own[2]} {' '.join(b)} {own[3]}"), (5, wrap(c, 10)), (6, wrap(near, 10)), (7, "loop " * 300)]
+    d = docs(pairs)
+    rows = d.sparkSession.createDataFrame((made := paragraph_minhash.repeats(d)).collect(), made.schema)
+    got = rows.collect()
+    assert {r["doc_id"]: r["kept_doc_id"] for r in got} == {2: 1, 4: 3, 6: 5}
+    left = {r["doc_id"]: (r["text"] or "").split() for r in paragraph_minhash.remove(d, rows).collect()}
+    whole = {i: t.split() for i, t in pairs}
+    assert all(left[i] == whole[i] for i in (1, 3, 5, 7))
+    assert [w for w in left[2] if w != "é"] == own[0].split() and left[4] == f"é {own[2]} {own[3]}".split() and not left[6]
