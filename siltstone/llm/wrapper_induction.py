@@ -6,8 +6,9 @@
    (equal root labels, then the best order-preserving matching of the children); it belongs to the
    one it matches best. For every reference node this counts the pages that have it, those
    whose text there is the same, and the varying text below it. Counts are summed per task before
-   the shuffle, so a host that holds most pages costs no more rows than another.
-3. Wrapper. Nodes whose text is constant over a host's pages are template. The content slot is found
+   the shuffle, so a host that holds most pages costs no more rows than another. Only distinct contents
+   of a host count, so copies of one page make nothing constant.
+3. Wrapper. Nodes whose text is constant over a host's contents are template, on pages with that text. The content slot is found
    from the root: as long as one container below holds most of the varying text, it is entered.
 4. Extraction. Of each page, the subtree aligned with the slot is read, without template nodes and
    without parts that name themselves (nav, aside, form, class="ad" and the like). A page
@@ -278,7 +279,7 @@ def extract(page: Node, references: list[Node], wrappers: list[Wrapper], p: Para
         for r, node in pairs:
             if r.index == wrappers[k].slot:
                 slot = node
-            if r.index in wrappers[k].template:
+            if r.index in wrappers[k].template and node.text == r.text:
                 template.add(node.index)
     own: dict[int, int] = {}
     masses(page, own)
@@ -299,13 +300,23 @@ def host(url: str = "url") -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _least(k: int) -> F.Column:
+    least = F.min(F.struct(F.xxhash64("page_id", F.lit(k)).alias("h"), "page_id", "html"))
+    return F.struct(least["page_id"].alias("page_id"), least["html"].alias("html"))
+
+
 def references(pages: DataFrame, p: Params) -> DataFrame:
     """(host, refs): an array of up to ``references`` pages for every host."""
     fit = pages.filter(F.col("page_id").isNotNull() & (F.octet_length("html") <= p.reference_bytes))
-    least = fit.groupBy("host").agg(*[F.min(F.struct(F.xxhash64("page_id", F.lit(k)).alias("h"), "page_id"))["page_id"].alias(f"r{k}") for k in range(p.references)])
-    ids = least.select("host", F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(p.references)]))).alias("page_id"))
-    found = fit.join(ids, ["host", "page_id"]).groupBy("host", "page_id").agg(F.min("html").alias("html"))
-    return found.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("page_id", "html"))).alias("refs"))
+    least = fit.groupBy("host").agg(*[_least(k).alias(f"r{k}") for k in range(p.references)])
+    array = F.array_distinct(F.array(*[f"r{k}" for k in range(p.references)]))
+    return least.select("host", F.array_sort(array).alias("refs"))
+
+
+def contents(pages: DataFrame) -> DataFrame:
+    """(host, page_id, html): every distinct content of a host once, with its least page_id."""
+    filled = pages.filter(F.octet_length("html") > 0)
+    return filled.groupBy("host", F.sha2("html", 256).alias("_digest")).agg(F.min("page_id").alias("page_id"), F.first("html").alias("html")).drop("_digest")
 
 
 def _join(pages: DataFrame, refs: DataFrame, size: int, p: Params) -> DataFrame:
@@ -313,7 +324,7 @@ def _join(pages: DataFrame, refs: DataFrame, size: int, p: Params) -> DataFrame:
 
 
 def count(joined: DataFrame, p: Params) -> DataFrame:
-    """(host, ref, node, pages, equal, mass) summed over all pages."""
+    """(host, ref, node, pages, equal, mass) summed over all contents."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -359,9 +370,10 @@ def count(joined: DataFrame, p: Params) -> DataFrame:
 def main_text(pages: DataFrame, p: Params = Params()) -> DataFrame:
     """(page_id, url, text) of every row of pages (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host().alias("host"))
-    refs = cut(references(pages, p))
+    distinct = cut(contents(pages))
+    refs = cut(references(distinct, p))
     size = refs.agg(F.sum(F.aggregate("refs", F.lit(0).cast("long"), lambda a, r: a + F.octet_length(r["html"])))).first()[0] or 0
-    counts = count(_join(pages, refs, size, p), p).groupBy("host").agg(F.collect_list(F.struct("ref", "node", "pages", "equal", "mass")).alias("counts"))
+    counts = count(_join(distinct, refs, size, p), p).groupBy("host").agg(F.collect_list(F.struct("ref", "node", "pages", "equal", "mass")).alias("counts"))
     known = cut(refs.join(counts, "host", "left"))
     cache: dict[str, tuple[list[Node], list[Wrapper]]] = {}
 

@@ -339,3 +339,13 @@ def test_repeated_passages_are_found_across_short_lines_and_inside_long_ones(doc
     whole = {i: t.split() for i, t in pairs}
     assert all(left[i] == whole[i] for i in (1, 3, 5, 7))
     assert [w for w in left[2] if w != "é"] == own[0].split() and left[4] == f"é {own[2]} {own[3]}".split() and not left[6]
+
+
+def test_copies_are_no_template_and_other_text_at_a_constant_place_stays(spark):
+    copy = "<body><article><h1>One title</h1><p>The same article at many addresses</p></article></body>"
+    rows = [(i, f"http://copies.example/{i}", copy) for i in range(6)]
+    own = lambda i: "Real words of this page" if i == 11 else "All rights kept"
+    rows += [(100 + i, "http://t.example/", f"<body><article><h1>N{i}</h1><p>{'story ' * (i + 3)}{i}</p><p>{own(i)}</p></article></body>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in wrapper_induction.main_text(pages_of(spark, rows)).collect()}
+    assert {got[i] for i in range(6)} == {"One title The same article at many addresses"}
+    assert all(got[100 + i] == f"N{i} {'story ' * (i + 3)}{i}" + (" Real words of this page" if i == 11 else "") for i in range(12))
