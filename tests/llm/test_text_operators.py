@@ -283,6 +283,51 @@ def test_classifier_learns_only_from_its_rows_and_holds_out_well(spark, docs, fo
     assert kept.columns == docs([]).columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows if out[i]["predicted"]}
 
 
+def test_scores_equal_a_plain_computation(spark, docs, folder, query):
+    import math
+
+    import numpy as np
+    import zstandard
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
+    rows = [(i, " ".join(word() + (rng.choice(["!!", "|"]) if i % 4 == 0 else "") for _ in range(rng.randint(1, 150)))) for i in range(120)] + [(500, None), (501, "é" * 3000)]
+    lab = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(120)], "doc_id bigint, quality int, toxic int")
+    path = folder(documents=docs(rows), labels=lab)
+    p = quality_compression.Params()
+    train, share = quality_compression.sample(spark.read.parquet(f"{path}/documents.parquet"), lab, p)
+    texts = dict(rows)
+    known = {i for i in range(120) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert sorted(t for t, _ in train) == sorted(texts[i] for i in known) and share == sum(i % 4 > 0 for i in known) / len(known)
+    halves = {k: [t for t, label in train if label == k] for k in (0, 1)}
+    packers = []
+    for k in (1, 0):
+        own = [t.encode() for t in halves[k][0::2]]
+        each = max(64, 65_536 // len(own) - 1)
+        content = b"\n".join(x if len(x) <= each else x[(len(x) - each) // 2 : (len(x) - each) // 2 + each] for x in own)[:65_536]
+        packers.append(lambda x, c=content: len(zstandard.ZstdCompressor(level=6, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(x)))
+
+    def features(text):
+        raw = (text or "").encode()
+        parts = [raw[i : i + 256] for i in range(0, len(raw), 256)] or [b""]
+        g, b = (sum(map(f, parts)) for f in packers)
+        return [(b - g) / (b + g), (b - g) / (b + g) * abs((b - g) / (b + g)), (b - g) / (len(raw) + 16)]
+
+    x = np.array([features(t) for k in (0, 1) for t in halves[k][1::2]])
+    y = np.repeat([0.0, 1.0], [len(halves[k][1::2]) for k in (0, 1)])
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    x1 = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
+    weight, w = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), np.zeros(4)
+    for _ in range(20_000):  # plain descent on the convex loss
+        w -= (x1.T @ (weight * (1 / (1 + np.exp(-x1 @ w)) - y)) + 1e-3 * len(y) * np.array([0, *w[1:]])) / (0.25 * weight.sum() * 4)
+    out = {r["doc_id"]: r["score"] for r in query("op10_quality_compression")(spark, path).collect()}
+    for i, t in rows:
+        n = len((t or "").encode())
+        own = w[0] + ((np.array(features(t)) - mean) / scale) @ w[1:]
+        z = (n * own + 128 * math.log(share / (1 - share))) / (n + 128)
+        assert abs(out[i] - 1 / (1 + math.exp(-z))) < 1e-3
+
+
 def test_classifier_without_labels(spark, docs, folder, query):
     lab = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     out = query("op10_quality_compression")(spark, folder(documents=docs([(1, "x"), (1, "x")]), labels=lab)).collect()
