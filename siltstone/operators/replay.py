@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import re
+from collections.abc import Callable, Iterator
 
-from siltstone.functions.scalars import parse_integer
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def counter_replay(ops: DataFrame) -> DataFrame:
@@ -19,51 +23,129 @@ def counter_replay(ops: DataFrame) -> DataFrame:
     return ops.join(reset, "key").groupBy("key").agg(F.sum(F.when(after, step).otherwise(0)).cast("bigint").alias("counter"), F.max(after & (F.col("op") != "DEL")).alias("exists"))
 
 
+def in_order(rows: DataFrame, by: list[str], order: list[str], schema: str, make: Callable[[], Callable[[dict], Iterator[tuple]]]) -> DataFrame:
+    """Rows of ``schema`` out of a fold over the rows of each group in order. Groups are sorted outside
+    the worker and streamed through it, so it holds one batch and the state of one group."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, got = make(), []
+        for batch in batches:
+            for row in batch.to_pylist():
+                got += step(row)
+                if len(got) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), out, strict=True)], schema=out)
+                    got = []
+        got += step({})  # the end
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), out, strict=True)], schema=out)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+def add_to(value: str | None, step: int) -> tuple[str | None, str | None]:
+    """(new value, error) of adding 1 or -1 to a decimal text; a missing one counts as 0."""
+    if value is not None and not re.fullmatch(r"-?[0-9]+", value) or not -(1 << 63) <= (now := int(value or 0)) < 1 << 63:
+        return value, "value is not an integer or out of range"
+    if not -(1 << 63) <= now + step < 1 << 63:
+        return value, "increment or decrement would overflow"
+    return str(now + step), None
+
+
 def fold_commands(ops: DataFrame) -> DataFrame:
     """(key, value, errors) after SET, DEL, INCR and DECR (key, seq, op, arg) in order of seq.
 
     INCR and DECR of a missing key start at 0; a value that is no integer, or an overflow, is an
-    error that leaves the value as it is. The fold is sequential by nature: SETs and DELs forget
-    the past, so rows before a key's last SET or DEL are dropped from it first (only their errors
-    would be lost, hence errors count from there)."""
-    last = ops.groupBy("key").agg(F.max(F.when(F.col("op").isin("SET", "DEL"), F.col("seq"))).alias("_r"))
-    rest = ops.join(last, "key").filter(F.col("_r").isNull() | (F.col("seq") >= F.col("_r")))
-    ordered = rest.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "arg"))).alias("_ops"))
-    start = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).cast("bigint").alias("e"))
+    error that leaves the value as it is."""
+    kind = ops.schema["key"].dataType.simpleString()
 
-    def step(acc: Column, x: Column) -> Column:
-        now = F.when(acc["v"].isNull(), F.lit(0).cast("bigint")).otherwise(parse_integer(acc["v"]))
-        added = F.try_add(now, F.when(x["op"] == "INCR", F.lit(1)).otherwise(F.lit(-1)).cast("bigint"))
-        counted = F.struct(F.coalesce(added.cast("string"), acc["v"]).alias("v"), (acc["e"] + F.when(added.isNull(), 1).otherwise(0)).cast("bigint").alias("e"))
-        return F.when(x["op"] == "SET", F.struct(x["arg"].alias("v"), acc["e"].alias("e"))).when(x["op"] == "DEL", F.struct(F.lit(None).cast("string").alias("v"), acc["e"].alias("e"))).otherwise(counted)
+    def make() -> Callable[[dict], Iterator[tuple]]:
+        now: list = []  # key, value, errors
 
-    return ordered.select("key", F.aggregate("_ops", start, step).alias("_s")).select("key", F.col("_s.v").alias("value"), F.col("_s.e").alias("errors"))
+        def step(row: dict) -> Iterator[tuple]:
+            if now and (not row or row["key"] != now[0]):
+                yield tuple(now)
+                now.clear()
+            if not row:
+                return
+            if not now:
+                now[:] = [row["key"], None, 0]
+            if row["op"] in ("SET", "DEL"):
+                now[1] = row["arg"] if row["op"] == "SET" else None
+            else:
+                now[1], error = add_to(now[1], 1 if row["op"] == "INCR" else -1)
+                now[2] += error is not None
+
+        return step
+
+    return in_order(ops.select("key", "seq", "op", "arg"), ["key"], ["seq"], f"key {kind}, value string, errors bigint", make)
 
 
 def rotate(records: DataFrame, limit: int, group: str = "grp") -> DataFrame:
     """(grp, seq, size, file_no, offset): greedy file numbers within each writer's group.
 
     A record opens a new file if its file has bytes and would grow past the limit. Restarts depend
-    on earlier restarts, which no window sum gives; each group folds its ordered sizes."""
-    ordered = records.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("seq", "size"))).alias("_r"))
-    kind = "array<struct<seq:bigint,size:bigint,file_no:bigint,offset:bigint>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("f"), F.lit(0).cast("bigint").alias("used"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        turn = (acc["used"] > 0) & (acc["used"] + x["size"] > limit)
-        f = acc["f"] + F.when(turn, 1).otherwise(0).cast("bigint")
-        at = F.when(turn, F.lit(0).cast("bigint")).otherwise(acc["used"])
-        row = F.struct(x["seq"].cast("bigint").alias("seq"), x["size"].cast("bigint").alias("size"), f.alias("file_no"), at.alias("offset"))
-        return F.struct(f.alias("f"), (at + x["size"]).cast("bigint").alias("used"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return ordered.select(group, F.explode(F.aggregate("_r", start, step)["out"]).alias("x")).select(group, "x.*")
-
-
-def running_sum(rows: DataFrame, bucket: Column, order: list[str], value: str) -> DataFrame:
-    """``running``: the sum of ``value`` up to each row in the global order. Buckets that follow the
-    order are summed first; only their totals meet in one task."""
-    placed = rows.withColumn("_b", bucket)
+    on earlier restarts, which no window sum gives: each group's sorted sizes are streamed, and every
+    file is one jump in their running sums."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rows = records.select(group, F.col("seq").cast("bigint").alias("seq"), F.col("size").cast("bigint").alias("size"))
+    kind = rows.schema[group].dataType.simpleString()
+    schema = f"`{group}` {kind}, seq bigint, size bigint, file_no bigint, offset bigint"
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, file_no, used = None, 0, 0
+        for batch in batches:
+            names, sizes = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+            files, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+            edges = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if now is None or names[a] != now[0]:
+                    now, file_no, used = (names[a],), 0, 0
+                upto = np.concatenate([[0], np.cumsum(sizes[a:b])])
+                k = 0
+                while k < b - a:
+                    # the last record that still fits; a record alone always does
+                    fits = int(np.searchsorted(upto, upto[k] + limit - used, side="right")) - 1
+                    if fits <= k:
+                        if used:
+                            file_no, used = file_no + 1, 0
+                            continue
+                        fits = k + 1
+                    files[a + k : a + fits] = file_no
+                    offsets[a + k : a + fits] = used + upto[k:fits] - upto[k]
+                    used += int(upto[fits] - upto[k])
+                    k = fits
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(files), pa.array(offsets)], schema=out)
+
+    return rows.repartition(group).sortWithinPartitions(group, "seq").mapInArrow(run, schema)
+
+
+def running_sum(rows: DataFrame, position: str, value: str, width: int = 1 << 12) -> DataFrame:
+    """``running``: the sum of ``value`` up to each row in the order of ``position``, whole numbers that
+    don't repeat. Ranges of ``width`` positions are summed first; where their totals are more than a
+    million ranges, these are added up in the same way, so no task gets a share of all rows."""
+    placed = rows.withColumn("_b", F.expr(f"`{position}` div {width}"))
     totals = placed.groupBy("_b").agg(F.sum(value).alias("_t"))
-    before = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_o"))
-    inside = F.sum(value).over(Window.partitionBy("_b").orderBy(*order))
+    low, high = rows.agg(F.min(position), F.max(position)).first()
+    if low is not None and (high - low) // width > 1 << 20:
+        upper = totals.select(F.col("_b").alias("_p"), F.col("_t").alias("_v"))
+        before = running_sum(upper, "_p", "_v", width).select(F.col("_p").alias("_b"), (F.col("running") - F.col("_v")).alias("_o"))
+    else:
+        before = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_o"))
+    inside = F.sum(value).over(Window.partitionBy("_b").orderBy(position))
     return placed.withColumn("_i", inside).join(before, "_b").withColumn("running", (F.col("_i") + F.col("_o")).cast("bigint")).drop("_b", "_i", "_o")
+
+
+def workload(spark: SparkSession, n: int, seed: int, keys: int, deletes: int) -> DataFrame:
+    """(seq, key, tombstone, value): ``n`` writes to ``keys`` keys, ``deletes`` percent of them deletes, drawn
+    by a hash of the seed and the number, so every run and every machine makes the same ones."""
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"))
+    part = lambda at: F.conv(F.substring(drawn, at, 4), 16, 10).cast("bigint")
+    return spark.range(n).select(F.col("id").alias("seq"), F.concat(F.lit("k"), (part(1) % keys).cast("string")).alias("key"), (part(5) % 100 < deletes).alias("tombstone"), F.concat(F.lit("op"), F.col("id").cast("string")).alias("value"))

@@ -47,15 +47,22 @@ def effective_deletes(log: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("key").distinct().join(latest_state(log).select("key"), "key", "left_semi")
 
 
+def marked_live(log: DataFrame) -> DataFrame:
+    """The rows of a log with ``live``: whether the state points at the row's file and offset."""
+    state = latest_state(log).select("key", "file_id", "offset", F.lit(True).alias("_live"))
+    return log.join(state, ["key", "file_id", "offset"], "left").select(*log.columns, F.coalesce("_live", F.lit(False)).alias("live"))
+
+
 def split_live(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(live, garbage) rows of a log: live is what the state points at."""
-    state = latest_state(log).select("key", "seq")
-    return log.join(state, ["key", "seq"], "left_semi"), log.join(state, ["key", "seq"], "left_anti")
+    """(live, garbage) rows of a log."""
+    marked = marked_live(log)
+    return marked.filter("live").drop("live"), marked.filter("not live").drop("live")
 
 
 def compact(log: DataFrame) -> DataFrame:
-    """The log after compaction: live rows under their old seq, no tombstones."""
-    return split_live(log)[0]
+    """The log after compaction: live rows under their old seq, no tombstones. That is the newest row
+    of each key where it is no delete, so the log is read once."""
+    return newest(log).filter(~F.col("tombstone")).select(*log.columns)
 
 
 def repoint(current: DataFrame, moved: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.state import latest_state, next_seq
+
 
 def valid_prefix(records: DataFrame) -> DataFrame:
     """Records before the first one of their file that isn't ok. The first bad offset is a grouped
@@ -45,3 +47,21 @@ def verify_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("_m") != F.col("_f"), "checksum mismatch").otherwise("ok")
     )
     return m.join(f, "name", "full_outer").select("name", status.alias("status"))
+
+
+def recover(records: DataFrame, victims: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(state, report) of decoded records of all files (file_id, offset, record_size, seq, tombstone, key,
+    value, outcome): files that an interrupted compaction names are left out, each file counts up to
+    its first bad record, the newest row of a key wins, and deletes go last. The report has the next
+    number, over tombstones too, and what was cut off."""
+    kept = records if victims is None else records.join(victims, "file_id", "left_anti")
+    log = valid_prefix(kept)
+    rest = torn(kept).agg(F.coalesce(F.sum("torn_bytes"), F.lit(0)).cast("bigint").alias("torn_bytes"), F.coalesce(F.sum("corrupt"), F.lit(0)).cast("bigint").alias("corrupt_records"))
+    return latest_state(log).drop("outcome"), next_seq(log).crossJoin(rest)  # one row each
+
+
+def repaired(files: DataFrame, records: DataFrame) -> DataFrame:
+    """(file_id, content) with damaged tails cut off: each file's bytes up to its first bad record."""
+    end = torn(records).select("file_id", "torn_bytes")
+    size = F.octet_length("content") - F.coalesce("torn_bytes", F.lit(0))
+    return files.join(end, "file_id", "left").select("file_id", F.substring(F.col("content"), F.lit(1), size.cast("int")).alias("content"))

@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import command_name, encode_record, parse_integer, record_size, sizes_valid
-from siltstone.operators import replay, state, statistics, validation
+from siltstone.operators import execute, replay, state, statistics, validation
+from siltstone.sources import binary_log
+from siltstone.sources.folders import shared_dir
+from siltstone.streaming import live_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,9 +112,7 @@ def hint_projection(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {LOG} SELECT log.seq IN (SELECT seq FROM state) AS live, count(*) AS records, sum(record_size)::BIGINT AS bytes FROM log GROUP BY 1")
 def live_vs_garbage(spark: SparkSession, d: str) -> DataFrame:
-    live, garbage = state.split_live(events_log(spark, d))
-    both = live.withColumn("live", F.lit(True)).unionByName(garbage.withColumn("live", F.lit(False)))
-    return both.groupBy("live").agg(F.count("*").alias("records"), F.sum("record_size").alias("bytes"))
+    return state.marked_live(events_log(spark, d)).groupBy("live").agg(F.count("*").alias("records"), F.sum("record_size").alias("bytes"))
 
 
 @query(f"WITH {LOG} SELECT key, seq, value FROM state")
@@ -140,10 +141,35 @@ def store_stats(spark: SparkSession, d: str) -> DataFrame:
     return statistics.store_stats(events_log(spark, d))
 
 
-@query(f"""WITH {STATS} SELECT 'live_keys:' || live_keys || chr(10) || 'data_files:' || data_files || chr(10) || 'disk_bytes:' || disk_bytes || chr(10) || 'live_bytes:' || live_bytes
-|| chr(10) || 'space_amplification:' || printf('%.6f', disk_bytes::DOUBLE / live_bytes) AS info FROM stats""")
+WRITES = """found AS (SELECT *, lag(tombstone) OVER (PARTITION BY key ORDER BY seq) AS before FROM log),
+writes AS (SELECT count(*) AS writes FROM found WHERE NOT tombstone OR NOT before)"""
+
+
+@query(f"WITH {LOG}, {WRITES} SELECT writes FROM writes")
+def write_effects(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.effective_writes(events_log(spark, d), 100)
+
+
+def whole_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The eight statistics of the events' log, as if every write was forced; the damage is that of
+    outcomes()."""
+    torn = validation.torn(outcomes(spark, d)).agg(F.sum("torn_bytes").alias("recovered_torn_bytes"))
+    log = events_log(spark, d)
+    parts = statistics.store_stats(log).unionByName(statistics.effective_writes(log, 100), allowMissingColumns=True).unionByName(torn, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns]).withColumn("fsyncs", F.col("writes"))  # three rows
+
+
+OUTCOMES = """rec AS (SELECT event_id // 1000 AS file_id, event_id % 1000 * 64 AS "offset", 64 AS record_size,
+  CASE WHEN event_id % 1709 = 1708 THEN 'corrupt' WHEN event_id % 2311 = 2310 THEN 'truncated' ELSE 'ok' END AS outcome FROM events),
+bad AS (SELECT file_id, max("offset" + record_size) AS e, min("offset") FILTER (outcome <> 'ok') AS bad, arg_min(outcome, "offset") FILTER (outcome <> 'ok') AS o FROM rec GROUP BY 1)"""
+EIGHT = f"""{STATS}, {WRITES}, {OUTCOMES}, eight AS (SELECT stats.*, disk_bytes::DOUBLE / live_bytes AS amplification, writes,
+  (SELECT coalesce(sum(e - bad), 0)::BIGINT FROM bad) AS torn FROM stats, writes)"""
+
+
+@query(f"""WITH {EIGHT} SELECT '# store' || n || 'live_keys:' || live_keys || n || 'data_files:' || data_files || n || 'disk_bytes:' || disk_bytes || n || 'live_bytes:' || live_bytes || n
+|| 'space_amplification:' || printf('%.6f', amplification) || n || 'fsyncs:' || writes || n || 'writes:' || writes || n || 'recovered_torn_bytes:' || torn || n AS info FROM eight, (SELECT chr(13) || chr(10) AS n)""")
 def store_info(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.info_text(statistics.store_stats(events_log(spark, d)))
+    return statistics.info_text(whole_stats(spark, d))
 
 
 OPS = "ops AS (SELECT user_id AS key, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'DECR' WHEN 'error' THEN 'DEL' ELSE 'INCR' END AS op FROM events)"
@@ -168,19 +194,31 @@ def command_fold(spark: SparkSession, d: str) -> DataFrame:
     return replay.fold_commands(counter_ops(spark, d).withColumn("arg", F.lit(None).cast("string")))
 
 
+MIXED = """ops AS (SELECT user_id AS key, event_id AS seq, CASE event_type WHEN 'signup' THEN 'SET' WHEN 'purchase' THEN 'DECR' WHEN 'error' THEN 'DEL' ELSE 'INCR' END AS op,
+  CASE WHEN event_id % 7 = 0 THEN 'abc' ELSE (event_id % 100)::VARCHAR END AS arg FROM events),
+w AS (SELECT *, count(*) FILTER (op IN ('SET', 'DEL')) OVER (PARTITION BY key ORDER BY seq) AS seg FROM ops),
+seg AS (SELECT key, seg, max(arg) FILTER (op = 'SET') AS base, count(*) FILTER (op IN ('INCR', 'DECR')) AS n, (count(*) FILTER (op = 'INCR') - count(*) FILTER (op = 'DECR')) AS sum FROM w GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {MIXED} SELECT key, arg_max(CASE WHEN n = 0 OR base = 'abc' THEN base ELSE (coalesce(base::BIGINT, 0) + sum)::VARCHAR END, seg) AS value,
+sum(CASE WHEN base = 'abc' THEN n ELSE 0 END)::BIGINT AS errors FROM (SELECT * FROM seg) GROUP BY key""".replace("arg_max(", "arg_max_null("))
+def command_fold_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """SET, DEL, INCR and DECR of each user in order; values that are no numbers make errors."""
+    t, i = F.col("event_type"), F.col("event_id")
+    op = F.when(t == "signup", "SET").when(t == "purchase", "DECR").when(t == "error", "DEL").otherwise("INCR")
+    arg = F.when(i % 7 == 0, "abc").otherwise((i % 100).cast("string"))
+    return replay.fold_commands(events(spark, d).select(F.col("user_id").alias("key"), i.alias("seq"), op.alias("op"), arg.alias("arg")))
+
+
 @query(f"SELECT text, CASE WHEN regexp_full_match(text, '-?[0-9]+') THEN try_cast(text AS BIGINT) END::VARCHAR AS number FROM {listed(INTEGERS, 'text')}")
 def parse_integer_guard(spark: SparkSession, d: str) -> DataFrame:
     return values(spark, [(t,) for t in INTEGERS], "text string").select("text", parse_integer(F.col("text")).cast("string").alias("number"))
 
 
-@query("SELECT count(*) FILTER (strlen(text) BETWEEN 1 AND 65536) AS n_keys_ok, count(*) AS n FROM documents")
+@query("SELECT count(*) FILTER (strlen(text) BETWEEN 1 AND 65536 AND strlen(source) <= 268435456) AS n_texts_as_keys, count(*) FILTER (strlen(source) BETWEEN 1 AND 65536 AND strlen(text) <= 268435456) AS n_texts_as_values, count(*) AS n FROM documents")
 def key_validation(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.read.parquet(f"{d}/documents.parquet")
-    return t.agg(F.count_if(sizes_valid(F.col("text"), F.lit(""))).alias("n_keys_ok"), F.count("*").alias("n"))
-
-
-OUTCOMES = """rec AS (SELECT event_id // 1000 AS file_id, event_id % 1000 * 64 AS "offset", 64 AS record_size,
-  CASE WHEN event_id % 1709 = 1708 THEN 'corrupt' WHEN event_id % 2311 = 2310 THEN 'truncated' ELSE 'ok' END AS outcome FROM events)"""
+    t, text, source = spark.read.parquet(f"{d}/documents.parquet"), F.col("text"), F.col("source")
+    return t.agg(F.count_if(sizes_valid(text, source)).alias("n_texts_as_keys"), F.count_if(sizes_valid(source, text)).alias("n_texts_as_values"), F.count("*").alias("n"))
 
 
 def outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -197,8 +235,7 @@ def valid_prefix(spark: SparkSession, d: str) -> DataFrame:
     return validation.valid_prefix(outcomes(spark, d)).groupBy("file_id").agg(F.count("*").alias("records"), F.max("offset").alias("last_offset"))
 
 
-@query(f"""WITH {OUTCOMES}, b AS (SELECT file_id, max("offset" + record_size) AS e, min("offset") FILTER (outcome <> 'ok') AS bad, arg_min(outcome, "offset") FILTER (outcome <> 'ok') AS o FROM rec GROUP BY 1)
-SELECT file_id, coalesce(e - bad, 0)::BIGINT AS torn_bytes, coalesce((o = 'corrupt')::BIGINT, 0) AS corrupt FROM b""")
+@query(f"""WITH {OUTCOMES} SELECT file_id, coalesce(e - bad, 0)::BIGINT AS torn_bytes, coalesce((o = 'corrupt')::BIGINT, 0) AS corrupt FROM bad""")
 def torn_bytes(spark: SparkSession, d: str) -> DataFrame:
     return validation.torn(outcomes(spark, d))
 
@@ -249,10 +286,13 @@ def commands(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select(name.alias("name"), F.col("value").alias("seconds"), (t == "error").alias("error"), "ts")
 
 
-@query(f"""WITH {COMMANDS} SELECT CASE WHEN lower(name) IN ('set', 'get', 'incr', 'del') THEN lower(name) ELSE 'unknown' END AS command, count(*) AS n,
-count(*) FILTER (error) AS errors, sum(floor(seconds)::BIGINT)::BIGINT AS seconds FROM cmd GROUP BY 1""")
+COUNTS = f"""{COMMANDS}, k AS (SELECT CASE WHEN lower(name) IN ('set', 'get', 'incr', 'del') THEN lower(name) ELSE 'unknown' END AS command, count(*) AS n,
+count(*) FILTER (error) AS errors, sum(round(seconds * 1e6)::BIGINT)::DOUBLE / 1e6 AS seconds FROM cmd GROUP BY 1)"""
+
+
+@query(f"WITH {COUNTS} SELECT * FROM k")
 def command_counts(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.command_counts(commands(spark, d).withColumn("seconds", F.floor("seconds")))
+    return statistics.command_counts(commands(spark, d))
 
 
 LE = f"(VALUES {', '.join(f'({b}::DOUBLE)' for b in BOUNDS)}, ('inf'::DOUBLE)) AS b(le)"
@@ -281,12 +321,12 @@ PERCENTS = (50.0, 90.0, 99.0)
 
 @query(f"WITH {RANKED} SELECT p, value FROM r, {listed(PERCENTS, 'p0')}, LATERAL (SELECT p0::DOUBLE AS p) WHERE i = least(n - 1, floor(p / 100 * n))")
 def quantile_bench(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, [(p, statistics.bench_percentile(events(spark, d), "value", p)) for p in PERCENTS], "p double, value double")
+    return values(spark, list(zip(PERCENTS, statistics.bench_percentiles(events(spark, d), "value", PERCENTS), strict=True)), "p double, value double")
 
 
 @query(f"WITH {RANKED} SELECT p, value FROM r, {listed(PERCENTS, 'p0')}, LATERAL (SELECT p0::DOUBLE AS p) WHERE i = floor(p / 100 * (n - 1))")
 def quantile_load(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, [(p, statistics.load_percentile(events(spark, d), "value", p)) for p in PERCENTS], "p double, value double")
+    return values(spark, list(zip(PERCENTS, statistics.load_percentiles(events(spark, d), "value", PERCENTS), strict=True)), "p double, value double")
 
 
 @query("SELECT count(*) AS ops, epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT AS seconds, count(*)::DOUBLE / (epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT) AS ops_per_second FROM (SELECT date_trunc('second', ts) AS ts FROM events)")
@@ -298,7 +338,7 @@ def throughput(spark: SparkSession, d: str) -> DataFrame:
 def connected_gauge(spark: SparkSession, d: str) -> DataFrame:
     step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
     rows = events(spark, d).select("event_id", step.alias("step"))
-    return replay.running_sum(rows, (F.col("event_id") / 4096).cast("bigint"), ["event_id"], "step").select("event_id", F.col("running").alias("connected"))
+    return replay.running_sum(rows, "event_id", "step").select("event_id", F.col("running").alias("connected"))
 
 
 HOURLY = "h AS (SELECT date_trunc('hour', ts) AS ts, count(*) FILTER (event_type = 'error') AS errors, count(*) AS total FROM events GROUP BY 1)"
@@ -314,13 +354,54 @@ def error_ratio_by_window(spark: SparkSession, d: str) -> DataFrame:
     return hourly(spark, d).select("ts", "errors", "total", F.try_divide(F.col("errors").cast("double"), F.col("total")).alias("ratio"))
 
 
-@query(f"""WITH {HOURLY}, c AS (SELECT 'all' AS instance, ts, errors::DOUBLE / total > 0.15 AS c FROM h),
-r AS (SELECT *, sum(CASE WHEN c THEN 0 ELSE 1 END) OVER (ORDER BY ts) AS run FROM c),
+@query(f"""WITH {HOURLY}, c AS (SELECT 'all' AS instance, ts, errors::DOUBLE / total > 0.15 AS c FROM h WHERE (epoch(ts)::BIGINT // 3600) % 11 <> 5),
+g AS (SELECT *, ts > lag(ts) OVER (ORDER BY ts) + INTERVAL 1 HOUR AS gap FROM c),
+r AS (SELECT *, sum(CASE WHEN c AND NOT coalesce(gap, FALSE) THEN 0 ELSE 1 END) OVER (ORDER BY ts) AS run FROM g),
 f AS (SELECT instance, run, ts, min(ts) OVER (PARTITION BY run) AS s FROM r WHERE c)
 SELECT instance, min(ts) AS fired_at FROM f WHERE ts >= s + INTERVAL 120 MINUTE GROUP BY instance, run""")
 def alert_for_duration(spark: SparkSession, d: str) -> DataFrame:
-    samples = hourly(spark, d).withColumn("instance", F.lit("all"))
-    return statistics.firing(samples, ["instance"], F.col("errors").cast("double") / F.col("total") > 0.15, 120)
+    """Hourly samples, every 11th of which is missing, which breaks a run."""
+    hour = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
+    samples = hourly(spark, d).withColumn("instance", F.lit("all")).filter(hour % 11 != 5)
+    return statistics.firing(samples, ["instance"], F.col("errors").cast("double") / F.col("total") > 0.15, 120, 3600)
+
+
+@query(f"""WITH {OUTCOMES} SELECT file_id::VARCHAR AS instance, TIMESTAMP '2026-01-01' AS fired_at FROM bad WHERE e - bad > 0""")
+def torn_alert(spark: SparkSession, d: str) -> DataFrame:
+    """An alert without a duration: torn bytes above 0."""
+    samples = validation.torn(outcomes(spark, d)).select(F.col("file_id").cast("string").alias("instance"), F.lit("2026-01-01").cast("timestamp_ntz").alias("ts"), "torn_bytes")
+    return statistics.firing(samples, ["instance"], F.col("torn_bytes") > 0, 0, 15)
+
+
+@query("""SELECT event_type, to_timestamp(epoch(ts)::BIGINT // 15 * 15)::TIMESTAMP AS ts, arg_max(value, (ts, event_id)) AS value FROM (SELECT event_id, event_type, ts, value, epoch_us(ts) // 1000000 AS e FROM events)
+GROUP BY event_type, e // 15, 2""".replace("to_timestamp(epoch(ts)::BIGINT // 15 * 15)::TIMESTAMP", "make_timestamp((e // 15 * 15) * 1000000)"))
+def scrape_grid(spark: SparkSession, d: str) -> DataFrame:
+    rows = events(spark, d).select("event_type", "ts", "value", "event_id")
+    last = rows.groupBy("event_type", "ts").agg(F.max_by("value", "event_id").alias("value"))  # one sample a moment
+    return statistics.on_grid(last, ["event_type"], 15)
+
+
+BY_INSTANCE = f"""c AS (SELECT (user_id % 3)::VARCHAR AS instance, le, date_trunc('minute', ts) AS ts, count(*) FILTER (value <= le) AS k FROM events, (VALUES {', '.join(f'({b}::DOUBLE)' for b in BOUNDS)}, ('inf'::DOUBLE)) AS b(le) GROUP BY 1, 2, 3),
+s AS (SELECT instance, le, ts, sum(k) OVER (PARTITION BY instance, le ORDER BY ts)::DOUBLE AS value FROM c),
+p AS (SELECT *, date_trunc('day', ts) AS "window", lag(value) OVER (PARTITION BY instance, le, date_trunc('day', ts) ORDER BY ts) AS q FROM s),
+rates AS (SELECT instance, "window", le, sum(CASE WHEN q IS NULL THEN 0 ELSE value - q END) / 86400 AS n FROM p GROUP BY 1, 2, 3),
+w AS (SELECT *, coalesce(lag(n) OVER v, 0) AS n0, coalesce(lag(le) OVER v, 0) AS le0, 0.99::DOUBLE * max(n) OVER (PARTITION BY instance, "window") AS r FROM rates WINDOW v AS (PARTITION BY instance, "window" ORDER BY le))"""
+
+
+@query(f"""WITH {BY_INSTANCE} SELECT instance, "window", round(arg_min(CASE WHEN le = 'inf'::DOUBLE THEN le0 ELSE le0 + (le - le0) * (r - n0) / (n - n0) END, le), 6) AS value FROM w WHERE n >= r AND n > n0 GROUP BY 1, 2""")
+def quantile_by_instance(spark: SparkSession, d: str) -> DataFrame:
+    """The 0.99 quantile of latency per instance and day, from rates of cumulative bucket counters."""
+    from pyspark.sql import Window
+
+    minute = F.date_trunc("minute", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    own = events(spark, d).select((F.col("user_id") % 3).cast("string").alias("instance"), minute.alias("ts"), "value")
+    counted = own.groupBy("instance", "ts").agg(*[F.count_if(F.col("value") <= b).alias(f"n{i}") for i, b in enumerate(BOUNDS)], F.count("value").alias("all"))
+    pairs = F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"n{i}").alias("k")) for i, b in enumerate(BOUNDS)], F.struct(F.lit(float("inf")).alias("le"), F.col("all").alias("k")))
+    samples = counted.select("instance", "ts", F.explode(pairs).alias("x")).select("instance", "ts", "x.*")
+    running = F.sum("k").over(Window.partitionBy("instance", "le").orderBy("ts")).cast("double")
+    day = F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    found = statistics.histogram_quantile(samples.select("instance", "le", "ts", running.alias("value")), ["instance"], 0.99, day, 86400.0)
+    return found.withColumn("value", F.round("value", 6))
 
 
 COUNTERS = """c AS (SELECT event_type AS command, date_trunc('minute', ts) AS ts, count(*) AS k FROM events GROUP BY 1, 2),
@@ -397,19 +478,38 @@ def command_arity(spark: SparkSession, d: str) -> DataFrame:
     return values(spark, list(ARITY), "name string, argc bigint").select("name", "argc", F.coalesce(fine, known).alias("accepted"))
 
 
-@query(f"""WITH {BUCKETS}, k AS (SELECT CASE WHEN lower(name) IN ('set', 'get', 'incr', 'del') THEN lower(name) ELSE 'unknown' END AS command, count(*) AS n FROM cmd GROUP BY 1)
-SELECT 'commands_total{{command="' || command || '"}}' AS series, n::DOUBLE AS value FROM k
-UNION ALL SELECT 'command_seconds_bucket{{le="' || CASE WHEN le = 'inf'::DOUBLE THEN '+Inf' ELSE le::VARCHAR END || '"}}', n::DOUBLE FROM buckets""")
-def metrics_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Counters and histogram as exposition text, parsed again."""
+def g(x: str) -> str:
+    return f"printf('%.10g', ({x})::DOUBLE)"
+
+
+SINGLE = (("up", "1"), ("uptime_seconds", "0.25"), ("keys", "live_keys"), ("data_files", "data_files"), ("disk_bytes", "disk_bytes"), ("live_bytes", "live_bytes"), ("space_amplification", "amplification"),
+          ("recovered_torn_bytes", "torn"), ("fsyncs_total", "writes"), ("writes_total", "writes"), ("connected_clients", "0"), ("connections_total", "12345678901"))
+TEXT = f"""{EIGHT}, {COUNTS}, buckets AS (SELECT le, (SELECT count(*) FROM cmd WHERE seconds <= le OR le = 'inf'::DOUBLE) AS n FROM (VALUES {', '.join(f'({b}::DOUBLE)' for b in BOUNDS)}, ('inf'::DOUBLE)) AS b(le)),
+samples AS ({' UNION ALL '.join(f"SELECT 'store_{n} ' || {g(x)} AS line FROM eight" for n, x in SINGLE)}
+  UNION ALL SELECT 'store_commands_total{{command="' || command || '"}} ' || {g('n')} FROM k
+  UNION ALL SELECT 'store_command_errors_total ' || {g('sum(errors)')} FROM k
+  UNION ALL SELECT 'store_command_duration_seconds_bucket{{le="' || CASE WHEN le = 'inf'::DOUBLE THEN '+Inf' ELSE {g('le')} END || '"}} ' || {g('n')} FROM buckets
+  UNION ALL SELECT 'store_command_duration_seconds_sum ' || {g('sum(seconds)')} FROM k
+  UNION ALL SELECT 'store_command_duration_seconds_count ' || {g('sum(n)')} FROM k)"""
+
+
+def exposition(spark: SparkSession, d: str) -> DataFrame:
+    names = {"live_keys": "keys", "fsyncs": "fsyncs_total", "writes": "writes_total"}
+    gauges = whole_stats(spark, d).withColumnsRenamed(names).withColumns({"up": F.lit(1), "uptime_seconds": F.lit(0.25), "connected_clients": F.lit(0), "connections_total": F.lit(12_345_678_901)})
     c = commands(spark, d)
-    text = statistics.metrics_text(statistics.command_counts(c), statistics.latency_buckets(c, BOUNDS))
-    return statistics.parse_metrics(text.withColumnRenamed("line", "value"))
+    return statistics.metrics_text(gauges, statistics.command_counts(c), statistics.latency_buckets(c, BOUNDS))
 
 
-@query(f"WITH {LOG} SELECT (SELECT count(*) FROM log WHERE NOT tombstone) AS puts, (SELECT count(DISTINCT key) FROM log WHERE tombstone) AS keys_ever_deleted")
-def write_effects(spark: SparkSession, d: str) -> DataFrame:
-    return events_log(spark, d).agg(F.count_if(~F.col("tombstone")).alias("puts"), F.count_distinct(F.when(F.col("tombstone"), F.col("key"))).alias("keys_ever_deleted"))
+@query(f"""WITH {TEXT} SELECT line FROM samples UNION ALL SELECT line FROM (VALUES {', '.join(f"('# HELP store_{n} {t}'), ('# TYPE store_{n} {k}')" for n, k, t in statistics.FAMILIES)}) AS t(line)""")
+def metrics_exposition(spark: SparkSession, d: str) -> DataFrame:
+    """All families of the exposition, without their order."""
+    return exposition(spark, d).select("line")
+
+
+@query(f"""WITH {TEXT} SELECT regexp_extract(line, '^(.*) ([^ ]+)$', 1) AS series, regexp_extract(line, '^(.*) ([^ ]+)$', 2)::DOUBLE AS value FROM samples""")
+def metrics_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The exposition, parsed again."""
+    return statistics.parse_metrics(exposition(spark, d).select(F.col("line").alias("value")))
 
 
 @query("SELECT epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT AS uptime_seconds FROM (SELECT date_trunc('second', ts) AS ts FROM events)")
@@ -418,9 +518,127 @@ def uptime(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).agg((F.unix_seconds(F.max(t)) - F.unix_seconds(F.min(t))).alias("uptime_seconds"))
 
 
-@query()
+BYTES = """raw AS (SELECT key, seq, flatten([[(seq >> (8 * i)) & 255 FOR i IN range(8)], [(strlen(k) >> (8 * i)) & 255 FOR i IN range(4)], [(strlen(value) >> (8 * i)) & 255 FOR i IN range(4)],
+  [CASE WHEN tombstone THEN 1 ELSE 0 END], [ascii(x) FOR x IN string_split(k, '')], CASE WHEN value = '' THEN [] ELSE [ascii(x) FOR x IN string_split(value, '')] END]) AS body FROM (SELECT *, key::VARCHAR AS k FROM log)),
+steps AS (SELECT [list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS t),
+summed AS (SELECT key, seq, body, xor(list_reduce(list_prepend(4294967295, body), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM raw, steps)"""
+
+
+@query(f"""WITH {LOG}, {BYTES} SELECT seq, crc, upper(array_to_string([printf('%02x', b) FOR b IN flatten([[(crc >> (8 * i)) & 255 FOR i IN range(4)], body])], '')) AS record FROM summed""")
 def record_codec(spark: SparkSession, d: str) -> DataFrame:
-    """Every event as a checksummed binary record, encoded in the JVM."""
-    log = events_log(spark, d)
+    """Every event as a checksummed binary record, in hex, encoded in the JVM."""
+    made = encoded_log(spark, d)
+    return made.select("seq", F.hex("record").alias("record"), F.crc32(F.substring(F.col("record"), F.lit(5), F.octet_length("record"))).alias("crc"))
+
+
+def encoded_log(spark: SparkSession, d: str) -> DataFrame:
     made = encode_record(F.col("seq"), F.col("tombstone"), F.col("key").cast("string").cast("binary"), F.col("value").cast("binary"))
-    return log.select("seq", made.alias("record"), F.crc32(made).alias("crc"))
+    return events_log(spark, d).select("file_id", "seq", made.alias("record"))
+
+
+def damaged_files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): the events as files of at most 1,000 records. The last record of every file
+    1, 4, 7 ... is cut off by 5 bytes, and record 37 of every file 2, 5, 8 ... has an impossible flag."""
+    r, n = F.col("record"), F.octet_length("record")
+    flag = (F.col("file_id") % 3 == 2) & (F.col("seq") % 1000 == 37)
+    bad = F.when(flag, F.concat(F.substring(r, 1, 20), F.lit(b"\x07"), F.substring(r, F.lit(22), n))).otherwise(r)
+    rows = encoded_log(spark, d).select("file_id", F.struct("seq", F.hex(bad).alias("h")).alias("x"))
+    whole = rows.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), "").alias("h"))
+    cut = F.when(F.col("file_id") % 3 == 1, F.substring(F.col("h"), F.lit(1), F.length("h") - 10)).otherwise(F.col("h"))
+    return whole.select(F.concat(F.lit("/"), F.lpad(F.col("file_id").cast("string"), 9, "0"), F.lit(".data")).alias("path"), F.unhex(cut).alias("content"))
+
+
+KEPT = f"""{LOG}, ends AS (SELECT file_id, max(seq) AS last FROM log GROUP BY 1),
+kept AS (SELECT log.* FROM log JOIN ends USING (file_id) WHERE NOT (file_id % 3 = 1 AND seq = last) AND NOT (file_id % 3 = 2 AND seq % 1000 >= 37)),
+lost AS (SELECT file_id, sum(CASE WHEN file_id % 3 = 1 THEN record_size - 5 ELSE record_size END) AS bytes FROM log JOIN ends USING (file_id) WHERE (file_id % 3 = 1 AND seq = last) OR (file_id % 3 = 2 AND seq % 1000 >= 37) GROUP BY 1)"""
+
+
+@query(f"""WITH {KEPT}, n AS (SELECT key, max(seq) AS seq FROM kept GROUP BY 1) SELECT key::VARCHAR AS key, seq, value FROM kept JOIN n USING (key, seq) WHERE NOT tombstone""")
+def recovered_state(spark: SparkSession, d: str) -> DataFrame:
+    """Recovery from bytes: decode, valid prefix of each file, newest row of each key, deletes last."""
+    found, _ = validation.recover(binary_log.decode_frame(damaged_files(spark, d)))
+    return found.select(F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").alias("value"))
+
+
+@query(f"""WITH {KEPT} SELECT (SELECT max(seq) + 1 FROM kept) AS next_seq, coalesce(sum(bytes), 0)::BIGINT AS torn_bytes, count(*) FILTER (file_id % 3 = 2) AS corrupt_records FROM lost""")
+def recovery_report(spark: SparkSession, d: str) -> DataFrame:
+    return validation.recover(binary_log.decode_frame(damaged_files(spark, d)))[1]
+
+
+@query(f"""WITH {KEPT} SELECT e.file_id, coalesce(sum(record_size), 0)::BIGINT AS bytes FROM ends e LEFT JOIN kept USING (file_id) GROUP BY 1""")
+def repaired_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files with their damaged tails cut off, by size."""
+    files = damaged_files(spark, d)
+    numbered = files.select(F.regexp_extract("path", r"([0-9]{9})", 1).cast("bigint").alias("file_id"), "content")
+    whole = validation.repaired(numbered, binary_log.decode_frame(files))
+    return whole.select("file_id", F.octet_length("content").cast("bigint").alias("bytes"))
+
+
+@query(f"""WITH RECURSIVE {LOG}, s AS (SELECT key, key % 4 AS writer, seq, record_size AS size, row_number() OVER (PARTITION BY key % 4 ORDER BY seq) AS i FROM state),
+f(key, writer, seq, size, i, file_no, "offset") AS (
+  SELECT key, writer, seq, size, i, 0::BIGINT, 0::BIGINT FROM s WHERE i = 1
+  UNION ALL SELECT s.key, s.writer, s.seq, s.size, s.i, CASE WHEN f."offset" + f.size + s.size > 256 THEN f.file_no + 1 ELSE f.file_no END,
+    CASE WHEN f."offset" + f.size + s.size > 256 THEN 0 ELSE f."offset" + f.size END FROM f JOIN s ON s.writer = f.writer AND s.i = f.i + 1)
+SELECT writer, seq, size, file_no, "offset" FROM f""")
+def compaction_split(spark: SparkSession, d: str) -> DataFrame:
+    """The output of a compaction by four writers, split into files of at most 256 bytes."""
+    packed = state.compact(events_log(spark, d)).select((F.col("key") % 4).alias("writer"), "seq", F.col("record_size").alias("size"))
+    return replay.rotate(packed, 256, "writer")
+
+
+SENT = """sent AS (SELECT event_id AS pos, 'k' || user_id AS k, 'k' || (user_id + 1) AS k2, CASE WHEN event_id % 13 = 0 THEN 'abc' ELSE (event_id % 50)::VARCHAR END AS v,
+  CASE event_type WHEN 'signup' THEN 'SET' WHEN 'error' THEN 'DEL' WHEN 'click' THEN 'INCR' WHEN 'view' THEN 'GET' ELSE ['PING', 'ECHO', 'DBSIZE', 'EXISTS', 'CONFIG', 'NOPE', 'ARITY', 'COMPACT', 'QUIT'][event_id % 9 + 1] END AS op FROM events),
+parts AS (SELECT pos, op, v, k AS key, 0 AS at FROM sent WHERE op IN ('SET', 'DEL', 'INCR', 'GET', 'EXISTS') UNION ALL SELECT pos, op, v, k2, 1 FROM sent WHERE op = 'EXISTS'),
+w AS (SELECT *, count(*) FILTER (op IN ('SET', 'DEL')) OVER (PARTITION BY key ORDER BY pos) AS seg FROM parts),
+b AS (SELECT *, max(CASE WHEN op = 'SET' THEN v END) OVER (PARTITION BY key, seg) AS base, count(*) FILTER (op = 'INCR') OVER (PARTITION BY key, seg ORDER BY pos) AS incs FROM w),
+a AS (SELECT *, CASE WHEN incs = 0 OR base = 'abc' THEN base ELSE (coalesce(base::BIGINT, 0) + incs)::VARCHAR END AS after FROM b),
+p AS (SELECT *, lag(after) OVER (PARTITION BY key ORDER BY pos) AS had FROM a),
+x AS (SELECT pos, count(had) AS n, max(after) AS after, max(CASE WHEN op = 'INCR' AND base = 'abc' THEN 1 END) AS bad, (count(after) - count(had)) AS change FROM p GROUP BY 1),
+y AS (SELECT sent.*, n, after, bad, sum(coalesce(change, 0)) OVER (ORDER BY sent.pos)::BIGINT AS live FROM sent LEFT JOIN x USING (pos)),
+replies AS (SELECT pos, CASE op WHEN 'SET' THEN '+OK' WHEN 'COMPACT' THEN '+OK' WHEN 'QUIT' THEN '+OK' WHEN 'PING' THEN '+PONG' WHEN 'ECHO' THEN '$2' || chr(13) || chr(10) || 'hi' WHEN 'DBSIZE' THEN ':' || live WHEN 'EXISTS' THEN ':' || n
+  WHEN 'DEL' THEN ':' || n WHEN 'CONFIG' THEN '*0' WHEN 'NOPE' THEN '-ERR unknown command ' || chr(39) || 'Nope' || chr(39) WHEN 'ARITY' THEN '-ERR wrong number of arguments for ' || chr(39) || 'get' || chr(39) || ' command'
+  WHEN 'GET' THEN CASE WHEN after IS NULL THEN '$-1' ELSE '$' || strlen(after) || chr(13) || chr(10) || after END
+  ELSE CASE WHEN bad = 1 THEN '-ERR value is not an integer or out of range' ELSE ':' || after END END || chr(13) || chr(10) AS reply FROM y)"""
+
+
+def sent_commands(spark: SparkSession, d: str) -> DataFrame:
+    i, t = F.col("event_id"), F.col("event_type")
+    k, k2 = (F.concat(F.lit("k"), (F.col("user_id") + n).cast("string")) for n in (0, 1))
+    v = F.when(i % 13 == 0, "abc").otherwise((i % 50).cast("string"))
+    line = lambda *x: F.array(*[F.lit(c) if isinstance(c, str) else c for c in x])
+    rest = (line("PING"), line("echo", "hi"), line("DbSize"), line("EXISTS", k, k2), line("CONFIG", "GET", "save"), line("Nope", k), line("GET"), line("COMPACT"), line("QUIT"))
+    other = rest[8]
+    for n in range(8):
+        other = F.when(i % 9 == n, rest[n]).otherwise(other)
+    args = F.when(t == "signup", line("SET", k, v)).when(t == "error", line("DEL", k)).when(t == "click", line("incr", k)).when(t == "view", line("get", k)).otherwise(other)
+    return events(spark, d).select(i.alias("pos"), args.alias("args"))
+
+
+@query(f"WITH {SENT} SELECT pos, reply FROM replies")
+def command_replies(spark: SparkSession, d: str) -> DataFrame:
+    return execute.execute(sent_commands(spark, d))
+
+
+@query(f"WITH {SENT} SELECT starts_with(reply, '-') AS error, count(*) AS n FROM replies GROUP BY 1")
+def reply_errors(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.error_replies(execute.execute(sent_commands(spark, d))).groupBy("error").agg(F.count("*").alias("n"))
+
+
+WORK = """h AS (SELECT i, md5('7:' || i) AS m FROM range(3000) AS t(i)),
+log AS (SELECT i AS seq, 'k' || (('0x' || m[1:4])::BIGINT % 50) AS key, ('0x' || m[5:8])::BIGINT % 100 < 25 AS tombstone, 'op' || i AS value FROM h)"""
+
+
+@query(f"""WITH {WORK}, n AS (SELECT key, max(seq) AS seq FROM log GROUP BY 1) SELECT key, seq, value FROM log JOIN n USING (key, seq) WHERE NOT tombstone""")
+def workload_state(spark: SparkSession, d: str) -> DataFrame:
+    """The state that a seeded workload leaves."""
+    return state.latest_state(replay.workload(spark, 3000, seed=7, keys=50, deletes=25)).select("key", "seq", "value")
+
+
+@query(f"WITH {LOG} SELECT key, seq, value FROM state")
+def stream_state(spark: SparkSession, d: str) -> DataFrame:
+    """The live state of the events as a stream, kept by micro-batches."""
+    log = events_log(spark, d).select("key", "seq", "tombstone", "value")
+    source, out, checkpoint = (shared_dir(spark) for _ in range(3))
+    log.write.parquet(source)
+    live_state.maintain(spark.readStream.schema(log.schema).parquet(source), out, checkpoint).awaitTermination()
+    return state.latest_state(spark.read.schema(log.schema).parquet(out)).select("key", "seq", "value")

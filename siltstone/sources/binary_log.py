@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -95,6 +96,14 @@ def data_files(folder: str) -> list[tuple[int, str]]:
     return [(int(n[:9]), os.path.join(folder, n)) for n in found]
 
 
+def remove_leftovers(folder: str, own: set[str] = frozenset(), age: float = 3600.0) -> None:
+    """Removes temporary files of writers that died: those older than ``age`` seconds."""
+    for name in os.listdir(folder):
+        path = os.path.join(folder, name)
+        if name.endswith(".tmp") and path not in own and time.time() - os.path.getmtime(path) >= age:
+            os.remove(path)
+
+
 @dataclass
 class LogFile(InputPartition):
     file_id: int
@@ -150,9 +159,11 @@ class _Writer(DataSourceWriter):
         return Written([path] if size else [])
 
     def commit(self, messages: list) -> None:
+        own = {p for m in messages if m for p in m.paths}
         last = max((i for i, _ in data_files(self.folder)), default=0)
         for k, path in enumerate((p for m in messages if m for p in m.paths), last + 1):
             os.rename(path, os.path.join(self.folder, f"{k:09d}.data"))
+        remove_leftovers(self.folder, own)
 
     def abort(self, messages: list) -> None:
         for path in (p for m in messages if m for p in m.paths):

@@ -14,18 +14,23 @@ class ProtocolError(ValueError):
     pass
 
 
-def parse(data: bytes) -> tuple[list[list[bytes]], int]:
-    """Complete commands at the start of the data and the bytes they take; the rest is incomplete.
-    Raises ProtocolError where no continuation could be valid."""
-    out, at = [], 0
+def commands(data: bytes) -> Iterator[tuple[list[bytes], int]]:
+    """Each complete command at the start of the data, with the bytes taken up to its end; what
+    follows the last one is incomplete. Raises ProtocolError where no continuation could be valid,
+    after the commands before that place."""
+    at = 0
     while at < len(data):
         got = _array(data, at) if data[at : at + 1] == b"*" else _inline(data, at)
         if got is None:
-            break
+            return
         args, at = got
-        if args:
-            out.append(args)
-    return out, at
+        yield args, at
+
+
+def parse(data: bytes) -> tuple[list[list[bytes]], int]:
+    """Complete commands at the start of the data and the bytes they take; see commands()."""
+    got = list(commands(data))
+    return [args for args, _ in got if args], got[-1][1] if got else 0
 
 
 def _line(data: bytes, at: int) -> tuple[bytes, int] | None:
@@ -87,19 +92,21 @@ def reply(value: object) -> bytes:
 
 
 def parse_frame(streams: DataFrame) -> DataFrame:
-    """(client, pos, args, error) of rows (client, data): one row per command; a protocol error ends
-    its stream with a row that names it."""
+    """(client, pos, args, error) of rows (client, data): one row per command. Commands before a
+    protocol error are kept; the error ends its stream, with a row that names it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for client, data in zip(b["client"], b["data"], strict=True):
-                data, k = bytes(data), 0
+                k = 0
                 try:
-                    done, at = parse(data)
-                    rows += [(client, k + i, a, None) for i, a in enumerate(done)]
+                    for args, _ in commands(bytes(data)):
+                        if args:
+                            rows.append((client, k, args, None))
+                            k += 1
                 except ProtocolError as e:
-                    rows.append((client, 0, None, str(e)))
+                    rows.append((client, k, None, str(e)))
             yield pd.DataFrame(rows, columns=["client", "pos", "args", "error"])
 
     return streams.select("client", "data").mapInPandas(run, "client string, pos bigint, args array<binary>, error string")

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -24,13 +25,22 @@ from siltstone.operators.state import compact, effective_deletes, latest_state
 LOG = "key binary, value binary, seq bigint, tombstone boolean, file_id bigint, record_size bigint"
 
 
+#: The smallest record: a header and a key of one byte.
+LEAST_FILE = 22
+
+
 class Store:
-    def __init__(self, spark: SparkSession, path: str, *, must_exist: bool = False) -> None:
-        self.spark, self.path = spark, path
+    """``max_file_size``: a write starts a new file of its generation beyond that many bytes a row
+    group can't split; ``grace`` seconds pass before a folder that no manifest names is removed, so
+    that readers of the manifest before can end."""
+
+    def __init__(self, spark: SparkSession, path: str, *, must_exist: bool = False, max_file_size: int = 1 << 30, grace: float = 3600.0) -> None:
+        self.spark, self.path, self.max_file_size, self.grace = spark, path, max_file_size, grace
+        if max_file_size < LEAST_FILE:
+            raise ValueError(f"max_file_size must be at least {LEAST_FILE}")
         if must_exist and not os.path.exists(self._manifest_path):
             raise FileNotFoundError(path)
         os.makedirs(path, exist_ok=True)
-        self._clean()
 
     @property
     def _manifest_path(self) -> str:
@@ -51,13 +61,18 @@ class Store:
         os.rename(tmp, self._manifest_path)
 
     def _clean(self) -> None:
-        """Removes what an interrupted write or compaction left: folders that no manifest names."""
-        if os.path.exists(os.path.join(self.path, "LOCK")):
-            return
+        """Removes what interrupted or replaced generations left: folders that no manifest names and
+        that are older than the grace. Called with the lock held, so no writer has one open."""
         live = set(self.manifest()["live"])
         for name in os.listdir(self.path):
-            if name.startswith("gen-") and name not in live:
-                shutil.rmtree(os.path.join(self.path, name))
+            path = os.path.join(self.path, name)
+            if name.startswith("gen-") and name not in live and time.time() - os.path.getmtime(path) >= self.grace:
+                shutil.rmtree(path)
+
+    def vacuum(self) -> None:
+        """Removes unnamed folders; readers never do."""
+        with self._locked():
+            self._clean()
 
     @contextmanager
     def _locked(self) -> Iterator[None]:
@@ -102,13 +117,15 @@ class Store:
             name = f"gen-{m['next']}"
             placed = rows.repartitionByRange("ord").sortWithinPartitions("ord").select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i"))
             placed = placed.persist()
-            sizes, first, offset = {r["p"]: r["count"] for r in placed.groupBy("p").count().collect()}, m["high"] + 1, {}
+            sizes, first, offset = {r["p"]: r["count"] for r in placed.groupBy("p").count().collect()}, m["high"] + 1, []
             for p in sorted(sizes):
-                offset[p], first = first, first + sizes[p]
+                offset.append((p, first))
+                first += sizes[p]
             if sizes:
-                numbers = F.create_map(*[F.lit(x) for kv in offset.items() for x in kv])[F.col("p")]
+                starts = F.broadcast(self.spark.createDataFrame(offset, "p int, first bigint"))  # a row for each partition
                 size = (21 + F.octet_length("key") + F.octet_length("value")).cast("bigint")
-                placed.select("key", "value", (F.col("i") + numbers).cast("bigint").alias("seq"), "tombstone", F.lit(m["next"]).cast("bigint").alias("file_id"), size.alias("record_size")).write.parquet(os.path.join(self.path, name))
+                rows = placed.join(starts, "p").select("key", "value", (F.col("i") + F.col("first")).cast("bigint").alias("seq"), "tombstone", F.lit(m["next"]).cast("bigint").alias("file_id"), size.alias("record_size"))
+                rows.write.option("parquet.block.size", min(self.max_file_size, 128 << 20)).parquet(os.path.join(self.path, name))
                 self._publish({"live": [*m["live"], name], "high": first - 1, "next": m["next"] + 1})
             placed.unpersist()
 
@@ -121,4 +138,4 @@ class Store:
             name = f"gen-{m['next']}"
             compact(self.log()).select(*[c.split()[0] for c in LOG.split(", ")]).write.parquet(os.path.join(self.path, name))
             self._publish({"live": [name], "high": m["high"], "next": m["next"] + 1})
-        self._clean()
+            self._clean()
