@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to a Python worker at once. Texts can be long, so batches stay short.
-ARROW_ROWS = 256
+from siltstone.sources.folders import shared_dir
 
-_OWN_DIR: list[str] = []
+#: Rows and bytes handed to a Python worker at once; a row above that comes alone.
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,21 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers get; the setting is read when a job starts."""
+    """Bounds the Arrow batches that Python workers get; the settings are read when a job starts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the session has no such setting (tests on one machine) a local folder serves.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _OWN_DIR:
-            _OWN_DIR.append(tempfile.mkdtemp(prefix="siltstone-"))
-        root = "file://" + _OWN_DIR[0]
-    return f"{root.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -59,6 +45,13 @@ def drop_cut(*dfs: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
 
 
+def gathered(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """A written table of narrow rows, marked for a broadcast where its rows, of 100 bytes at most in
+    memory, stay within ``limit``; else it is joined by a shuffle."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() * 100 <= limit else kept
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[dict[str, list]], dict[str, list]], setup: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow over the named columns alone; ``fn`` maps lists of values to lists of values."""
     from pyspark.sql.types import StructType

@@ -13,20 +13,24 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import cut, drop_cut
 
 
-def _minima(edges: DataFrame) -> DataFrame:
+SMALL = 1 << 19  # edges of 8-byte nodes whose grouped minima may be broadcast: 32 MB
+EACH = 1 << 17  # edges in a written part
+
+
+def _minima(edges: DataFrame, small: bool) -> DataFrame:
     """(u, v, m): every edge with the least of u and its neighbours v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").withColumn("m", F.least("u", "m"))
+    return edges.join(F.broadcast(least) if small else least, "u").withColumn("m", F.least("u", "m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, small: bool) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _minima(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _minima(both, small).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, small: bool) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = _minima(down)
+    near = _minima(down, small)
     return near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
 
 
@@ -35,10 +39,13 @@ def components(edges: DataFrame) -> DataFrame:
     least node that it is connected with. Loops and edges with a null are ignored. The steps
     end when the edges are stars, which takes a number of steps logarithmic in the longest path."""
     now = cut(edges.select("u", "v").filter("u <> v").distinct())
-    print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    print_of = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
     before = None
     while (mark := print_of(now)) != before:
         before, old = mark, now
-        now = cut(_small_star(_large_star(now)).filter("u <> v").distinct())
+        # steps never add edges beyond twice their number
+        small = 2 * mark["n"] <= SMALL
+        step = _small_star(_large_star(now, small), small).filter("u <> v").distinct()
+        now = cut(step.coalesce(2 * mark["n"] // EACH + 1) if small else step)
         drop_cut(old)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()

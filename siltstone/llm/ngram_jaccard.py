@@ -4,14 +4,15 @@ A document is its set of distinct word n-grams, 64-bit hashes each. Documents of
 one class from the start (set digests of 128 bits), so copies cost one row each and no pairs.
 Classes are joined exactly:
 
-1. Order. Occurrences of n-grams are counted over all documents in a sketch of fixed size. The global order is by counter, rarest first, then by hash; the
-   counters also cut it into ``fragments`` ranges that hold equally many occurrences.
+1. Order. Occurrences of n-grams are counted over all documents (``frequency``). The global order is
+   by frequency class (``classes`` gives their bounds), rare ones first, then by hash.
 2. Candidates. Two sets with a Jaccard index of at least the threshold share an n-gram among
-   their first n - ceil(threshold n) + 1 of that order. Pairs pass the size filter, the position
-   filter, and a filter by 512 parity bits per set, whose difference in bits is at most the
-   sets' difference.
-3. Counting. A pair that is left is counted in each fragment alone, and the partial overlaps are
-   summed per pair: rows hold parts of sets, and a pair links if its sum reaches the threshold.
+   their first n - ceil(threshold n) + 1 of that order. Which of those come in several classes
+   is counted the same way, so that only these become rows. Pairs pass the size filter, the
+   position filter, and a filter by 512 parity bits per set.
+3. Counting. The order is cut into ``fragments`` parts that hold about equally many occurrences. A pair
+   that is left is counted in each fragment alone, and the partial overlaps are summed per pair:
+   rows hold parts of sets, and a pair links if its sum reaches the threshold.
 
 Candidates and counting are in set_join: a group of near copies is linked by its central members
 first, then all pairs of different components are made, so components are exact.
@@ -29,171 +30,179 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, drop_cut, small_batches, table
-from siltstone.llm.components import components
-from siltstone.llm.set_join import BITS, digest, is_needed, linked, parity
-from siltstone.llm.textkit import shingle_sets
+from siltstone.llm.common import cut, drop_cut, gathered, small_batches, table
+from siltstone.llm.frequency import Table, frequent
+from siltstone.llm.set_join import WORDS, digests, is_needed, linked, parities
+from siltstone.llm.textkit import gram_sets
 
 
 @dataclass(frozen=True)
 class Params:
-    """Two sets link when ``per`` * intersection >= ``least`` * union.
-    ``cells``, a power of two, is the size of each task's sketch, so sketches grow as the input does."""
+    """Two sets link when ``per`` * intersection >= ``least`` * union. ``size``: the tables of frequent
+    n-grams have 2^size entries; ``linear``: a round of central sets is made while all pairs are
+    more than this for each place, at most ``rounds`` times."""
 
     n: int = 3
     least: int = 90
     per: int = 100
-    fragments: int = 8
-    cells: int = 1 << 21
+    fragments: int = 4
+    classes: tuple[int, int, int] = (8, 64, 512)
+    size: int = 26
     rounds: int = 3
+    linear: int = 8
 
 
-BLOCK = 1 << 12  # counters in a row
-MERGED = 256  # blocks added at once
+class Order:
+    """The global order of n-grams and its fragments."""
 
+    def __init__(self, table: Table, fragments: int) -> None:
+        self.table, self.fragments = table, fragments
 
-def digests(docs: DataFrame, p: Params, cells: int) -> DataFrame:
-    """One row (doc_id, n, sig) per document row, and each task's counters in blocks of BLOCK
-    cells (part, block, counts)."""
-    small_batches(docs.sparkSession)
-    shift = np.uint64(64 - (cells - 1).bit_length())
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("part", pa.int32()), ("block", pa.int32()), ("counts", pa.list_(pa.int32()))])
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """The place of each n-gram in the order: its frequency class, then its hash."""
+        return (self.table.of(h).astype(np.uint64) << np.uint64(62)) | (h >> np.uint64(2))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, part = np.zeros(cells, dtype=np.int32), TaskContext.get().partitionId()
-        for batch in batches:
-            n, sig = [], []
-            for _, h in shingle_sets(batch.column(1).to_pylist(), p.n):
-                np.add.at(counts, (h >> shift).astype(np.int64), 1)
-                n.append(len(h))
-                sig.append(digest(h))
-            k = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int32()))], schema=schema)
-        whole = counts.reshape(-1, BLOCK)
-        used = np.flatnonzero(whole.any(axis=1))
-        for i in used:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([part], pa.int32()), pa.array([i], pa.int32()), pa.array([whole[i]], pa.list_(pa.int32()))], schema=schema)
+    def fragment(self, h: np.ndarray) -> np.ndarray:
+        """Parts of the order: equal ranges of the rare n-grams, which nearly all are; the frequent
+        ones belong to the last part."""
+        rare = ((h >> np.uint64(32)) * np.uint64(self.fragments)) >> np.uint64(32)
+        return np.where(self.table.of(h) > 0, self.fragments - 1, rare.astype(np.int64))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sig binary, part int, block int, counts array<int>")
 
+def order(docs: DataFrame, p: Params) -> Order:
+    def grams(texts: pa.Array) -> Iterator[np.ndarray]:
+        for _, h, _ in gram_sets(texts.to_pylist(), p.n):
+            yield h
 
-class Order:
-    """The global order of n-grams and its fragments, from the counters."""
+    return Order(frequent(docs, ["text"], grams, p.classes, p.size), p.fragments)
 
-    def __init__(self, counts: np.ndarray, p: Params) -> None:
-        self.shift = np.uint64(64 - (len(counts) - 1).bit_length())
-        by_count = np.argsort(counts, kind="stable").astype(np.int32)
-        self.rank = np.empty(len(counts), dtype=np.int32)
-        self.rank[by_count] = np.arange(len(counts), dtype=np.int32)
-        upto = np.cumsum(counts[by_count])
-        self.cuts = np.searchsorted(upto, upto[-1] * np.arange(1, p.fragments) / p.fragments)
 
-    def sort(self, h: np.ndarray) -> np.ndarray:
-        return h[np.lexsort((h, self.rank[(h >> self.shift).astype(np.int64)]))]
+def _prefix_lengths(n: np.ndarray, p: Params) -> np.ndarray:
+    """0 where every unequal pair misses the threshold."""
+    return np.where(p.per * n >= p.least * (n + 1), n + (-p.least * n) // p.per + 1, 0)
 
-    def cut(self, h: np.ndarray, fragments: int) -> list[np.ndarray]:
-        f = np.searchsorted(self.cuts, self.rank[(h >> self.shift).astype(np.int64)], side="right")
-        return [h[f == k] for k in range(fragments)]
-
-
-def _prefix_length(n: int, p: Params) -> int:
-    return n - -(-p.least * n // p.per) + 1
 
+def described(docs: DataFrame, by: object, p: Params) -> DataFrame:
+    """(doc_id, th, n, sig, prefix, b0..b7) per document row; the prefix is empty where the set can
+    link to no other."""
+    small_batches(docs.sparkSession)
+    kinds = [("doc_id", "bigint", pa.int64()), ("th", "bigint", pa.int64()), ("n", "bigint", pa.int64()), ("sig", "binary", pa.binary()), ("prefix", "array<bigint>", pa.list_(pa.int64())), *[(w, "bigint", pa.int64()) for w in WORDS]]
+    out = pa.schema([(name, kind) for name, _, kind in kinds])
 
-def prefixes(docs: DataFrame, order, p: Params) -> DataFrame:
-    """(sig, n, prefix, b0..b7) per document row whose set can link to another set at all."""
-    names = [f"b{i}" for i in range(BITS)]
-    schema = "sig binary, n bigint, prefix array<bigint>, " + ", ".join(f"{b} bigint" for b in names)
-    out = pa.schema([("sig", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), *[(b, pa.int64()) for b in names]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, h, bounds in gram_sets(batch.column(2).to_pylist(), p.n):
+                n = np.diff(bounds)
+                lengths = _prefix_lengths(n, p)
+                place = by.value.place(h)
+                starts, prefix = np.zeros(len(n) + 1, np.int32), []
+                np.cumsum(lengths, out=starts[1:])
+                for d in np.flatnonzero(lengths).tolist():
+                    a, b, k = bounds[d], bounds[d + 1], int(lengths[d])
+                    own = place[a:b]
+                    least = np.argpartition(own, k - 1)[:k] if k < b - a else np.arange(k)
+                    prefix.append(h[a:b][least[np.argsort(own[least])]])
+                flat = np.concatenate(prefix) if prefix else h[:0]
+                bits = parities(h, bounds)
+                rows = slice(first, first + len(n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64())[rows], batch.column(1)[rows], pa.array(n), pa.array(digests(h, bounds), pa.binary()), pa.ListArray.from_arrays(pa.array(starts), pa.array(flat.view(np.int64))), *[pa.array(bits[:, i]) for i in range(len(WORDS))]], schema=out)
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind, _ in kinds))
+
+
+def shared_places(nodes: DataFrame, column: str, common: object, extra: str = "") -> DataFrame:
+    """(key, node, n, i, c): the elements of an array column that several nodes have, with their
+    position from 1. ``common`` is the table of elements that come more than once."""
+    out = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("i", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for _, h in shingle_sets(batch.column(0).to_pylist(), p.n):
-                # below this size every unequal pair misses the threshold
-                if p.per * len(h) >= p.least * (len(h) + 1):
-                    first = order.value.sort(h)[: _prefix_length(len(h), p)]
-                    rows.append((digest(h), len(h), first.view(np.int64), parity(h)))
-            if rows:
-                bits = np.array([r[3] for r in rows])
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), *[pa.array(bits[:, i]) for i in range(BITS)]], schema=out)
-
-    return docs.select("text").mapInArrow(run, schema)
-
-
-def segments(docs: DataFrame, needed: np.ndarray, order, p: Params) -> DataFrame:
-    """(seg, grams): the sets in the filter ``needed``, by fragment; seg is the set's digest and the
-    fragment's number."""
+            lists = batch.column(2)
+            keys = lists.flatten().to_numpy().view(np.uint64)
+            lengths = np.diff(lists.offsets.to_numpy())
+            ends = np.cumsum(lengths)
+            at = np.flatnonzero(common.value.of(keys))
+            row = np.searchsorted(ends, at, side="right")
+            i = at - (ends - lengths)[row] + 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(i)], schema=out)
+
+    own = cut(nodes.select("node", "n", column).mapInArrow(run, "key bigint, node bigint, n bigint, i bigint"))
+    shared = own.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    places = cut(own.join(shared, "key"))
+    drop_cut(own)
+    return places
+
+
+def segments(docs: DataFrame, needed: np.ndarray, by: object, p: Params) -> DataFrame:
+    """(seg, grams): the sets of the texts in the filter ``needed``, by fragment; seg is the set's digest
+    and the fragment's number."""
     bits = docs.sparkSession.sparkContext.broadcast(needed)
+    small_batches(docs.sparkSession)
     out = pa.schema([("seg", pa.binary()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for _, h in shingle_sets(batch.column(0).to_pylist(), p.n):
-                sig = digest(h)
-                if is_needed(sig, bits.value):
-                    rows += [(sig + bytes([k]), g.view(np.int64)) for k, g in enumerate(order.value.cut(h, p.fragments)) if len(g)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], schema=out)
+            texts = batch.column(1).filter(pa.array(is_needed(batch.column(0).to_numpy(), bits.value))).to_pylist()
+            for _, h, bounds in gram_sets(texts, p.n):
+                part = by.value.fragment(h)
+                own = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * p.fragments + part
+                turn = np.argsort(own, kind="stable")
+                edges = np.searchsorted(own[turn], np.arange((len(bounds) - 1) * p.fragments + 1))
+                seg = [s + bytes([k]) for s in digests(h, bounds) for k in range(p.fragments)]
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(h[turn].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(seg, pa.binary()), lists], schema=out).filter(pa.array(np.diff(edges) > 0))
 
-    return docs.select("text").mapInArrow(run, "seg binary, grams array<bigint>")
+    return docs.select("th", "text").mapInArrow(run, "seg binary, grams array<bigint>")
 
 
-def _counters(raw: DataFrame, cells: int) -> np.ndarray:
-    """The counters summed over all tasks, as one array of fixed size. Blocks are added in groups of
-    at most MERGED, level by level, so no group grows with the number of tasks."""
-    now = raw.filter("block is not null").select("part", "block", "counts")
-    parts = (now.agg(F.max("part")).first()[0] or 0) + 1
+def text_hash(text: Column) -> Column:
+    return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text))
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.stack([x.values.to_numpy() for x in t["counts"]]).sum(axis=0, dtype=np.int64)
-        return pa.table({"part": pa.array([t["part"][0].as_py()], pa.int32()), "block": pa.array([t["block"][0].as_py()], pa.int32()), "counts": pa.array([total], pa.list_(pa.int64()))})
 
-    while parts > 1:
-        now = now.withColumn("part", (F.col("part") / MERGED).cast("int")).groupBy("part", "block").applyInArrow(add, "part int, block int, counts array<bigint>")
-        parts = -(-parts // MERGED)
-    counts = np.zeros(cells, dtype=np.int64)
-    for batch in now.select("block", "counts").toArrow().to_batches():
-        for at, c in zip(batch["block"].to_pylist(), batch["counts"], strict=True):
-            counts[at * BLOCK : (at + 1) * BLOCK] = c.values.to_numpy()
-    return counts
+def with_hash(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, th): th is the hash of the text, 0 of null."""
+    return docs.select("doc_id", "text", text_hash(F.col("text")).alias("th"))
 
 
 def classes(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, sig) per document row, and (node, root) for every class that links to another:
-    sets are named by their digests."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    raw = cut(digests(docs, p, p.cells))
-    rows = raw.filter("sig is not null").select("doc_id", "n", "sig")
-    nothing = spark.createDataFrame([], "u binary, v binary")
-    counts = _counters(raw, p.cells)
-    if not counts.any():
-        return rows, components(nothing)
-    order = spark.sparkContext.broadcast(Order(counts, p))
-    bits = [f"b{i}" for i in range(BITS)]
-    nodes = cut(prefixes(docs, order, p).groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "prefix", *bits)]))
-    own = nodes.select("sig", "n", F.posexplode("prefix").alias("i", "key")).withColumn("i", F.col("i") + 1)
-    shared = own.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    places = cut(own.join(shared, "key"))
-    labels = linked(places, nodes.withColumn("size", F.size("prefix")), lambda needed: segments(docs, needed, order, p), p)
-    drop_cut(nodes, places)
-    return rows, labels
+    """(doc_id, th, n, sig) per document row, and (sig, root) for every class that links to another:
+    sets are named by their digests, roots by numbers."""
+    sc = docs.sparkSession.sparkContext
+    docs = with_hash(docs)
+    by = sc.broadcast(order(docs, p))
+    raw = cut(described(docs, by, p))
+    own = raw.filter(F.size("prefix") > 0).groupBy("sig").agg(F.first(F.struct("th", "n", "prefix", *WORDS)).alias("x"))
+    nodes = cut(own.select(F.monotonically_increasing_id().alias("node"), "sig", "x.*").withColumn("size", F.size("prefix")))
+
+    def keys(lists: pa.Array) -> Iterator[np.ndarray]:
+        yield lists.flatten().to_numpy().view(np.uint64)
+
+    common = sc.broadcast(frequent(nodes, ["prefix"], keys, (1,), p.size + 1))
+    places = shared_places(nodes, "prefix", common)
+    common.unpersist()
+    labels = linked(places, nodes.drop("prefix"), lambda needed: segments(docs, needed, by, p), p)
+    named = cut(nodes.select("node", "sig").join(labels, "node").select("sig", "root"))
+    drop_cut(nodes, places, labels)
+    by.unpersist()
+    return raw.select("doc_id", "th", "n", "sig"), named
+
+
+def _components(rows: DataFrame, labels: DataFrame, least: Column) -> DataFrame:
+    """(sig, best): the least of ``least`` over each component of more than one row."""
+    reps = rows.filter("n > 0").groupBy("sig").agg(least.alias("rep"), F.count("*").alias("copies"))
+    rooted = reps.join(labels, "sig", "left").filter("copies > 1 or root is not null")
+    best = rooted.filter("root is not null").groupBy("root").agg(F.min("rep").alias("best"))
+    return cut(rooted.join(best, "root", "left").select("sig", F.coalesce("best", "rep").alias("best")))
 
 
 def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document row."""
     rows, labels = classes(docs, p)
-    reps = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    rooted = reps.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
-    least = rooted.filter("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
-    named = rooted.filter("copies > 1 or root is not null").join(least, "root", "left").select("sig", F.coalesce("least", "rep").alias("component_id"))
-    return rows.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = _components(rows, labels, F.min("doc_id"))
+    return rows.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("best", "doc_id").alias("component_id"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,10 +214,21 @@ STAGE = Params(n=5, least=80)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, p: Params = STAGE) -> DataFrame:
-    """Pipeline stage: of every component at five words and 0.8 the document of least doc_id stays,
-    once; rows that share that id but not their text stay both."""
-    kept = groups(docs, p).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Pipeline stage: of every component at five words and 0.8 the row of least doc_id stays (of
+    least text hash where an id has several texts; a null id only where there is no other), once.
+    Only rows that go are joined to the documents."""
+    rows, labels = classes(docs, p)
+    named = _components(rows, labels, F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")))
+    own = [F.col("doc_id").alias("_of"), F.col("th").alias("_hash")]
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
+    gone = gathered(rows.join(named, "sig").filter(~stays).select(*own).distinct())
+    again = gathered(rows.groupBy("doc_id", "th").agg(F.count("*").alias("c")).filter("c > 1").select(*own))
+    same = docs["doc_id"].eqNullSafe(F.col("_of")) & (text_hash(docs["text"]) == F.col("_hash"))
+    left = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return left
+    twice = left.join(again, left["doc_id"].eqNullSafe(again["_of"]) & (text_hash(left["text"]) == again["_hash"]), "left_semi")
+    return left.join(again, left["doc_id"].eqNullSafe(again["_of"]) & (text_hash(left["text"]) == again["_hash"]), "left_anti").union(twice.dropDuplicates(["doc_id", "text"]))
 
 
 def jaccard_sql(p: Params = Params()) -> str:

@@ -7,17 +7,15 @@ prefixes: a text longer than a block is a block of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 BLOCK = 1 << 19
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+_STEP = np.uint64(0x2545F4914F6CDD1D)
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 #: Words of `[^\x20\x09-\x0D]+`.
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -27,19 +25,6 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, BLOCK + (BLOCK >> 2))
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    up, down = _POWERS["up"][:n], _POWERS["down"][:n]
-    if len(_POWERS["up"]) > 8 * BLOCK:
-        _POWERS.clear()  # a very long text must not leave its tables behind
-    return up, down
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -55,22 +40,38 @@ class Words:
 
     def __init__(self, texts: list[bytes], word_bytes: np.ndarray, lower: bool = True) -> None:
         self.texts = texts
-        data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
-        data = LOWER[data] if lower else data
-        self.data = data
-        inside = np.zeros(len(data) + 2, dtype=np.int8)
-        inside[1:-1] = word_bytes[data]
-        edge = np.flatnonzero(np.diff(inside))
+        joined = b" ".join(texts)
+        if lower:
+            joined = joined.lower()  # bytes: A-Z alone
+        self.data = data = np.frombuffer(joined, dtype=np.uint8)
+        inside = np.zeros(len(data) + 2, dtype=bool)
+        inside[1:-1] = np.frombuffer(joined.translate(word_bytes.astype(np.uint8).tobytes()), dtype=bool)
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edge[0::2], edge[1::2]
         lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         self.offset = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum(lengths + 1, out=self.offset[1:])
         self.first = np.searchsorted(self.start, self.offset)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        up, down = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = self._hashes(joined)
+
+    def _hashes(self, joined: bytes) -> np.ndarray:
+        """Eight bytes of each word at a time; later rounds see the words that are left. What a word
+        has beyond its first 64 bytes is hashed at once."""
+        padded = joined + bytes(8)
+        eights = np.ndarray(len(joined) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        size = self.end - self.start
+        h = mix((eights[self.start] & _FIRST[np.minimum(size, 8)]) * _STEP + size.astype(np.uint64))
+        left, at = np.flatnonzero(size > 8), 8
+        while len(left) and at < 64:
+            more = eights[self.start[left] + at] & _FIRST[np.minimum(size[left] - at, 8)]
+            h[left] = mix(h[left] * _STEP + more)
+            at += 8
+            left = left[size[left] > at]
+        for k in left:
+            rest = hashlib.blake2b(joined[self.start[k] + at : self.end[k]], digest_size=8).digest()
+            h[k] = mix(h[k : k + 1] * _STEP + np.frombuffer(rest, dtype="<u8"))[0]
+        return h
 
     def __len__(self) -> int:
         return len(self.start)
@@ -82,7 +83,7 @@ class Words:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         h = self.hash[:count]
         for j in range(1, n):
-            h = mix(h * np.uint64(0x2545F4914F6CDD1D) + self.hash[j : j + count])
+            h = mix(h * _STEP + self.hash[j : j + count])
         at = np.flatnonzero(self.doc[:count] == self.doc[n - 1 :])
         return h[at], at
 
@@ -102,23 +103,47 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
-def shingle_sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(index, sorted distinct n-word shingle hashes) of each text over words of NOT_SPACE bytes,
-    A-Z lower-cased. A text of fewer words than n has its whole sequence as its one shingle; a
-    text without words or null has none."""
+def gram_sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each block (index of its first text, hashes, bounds): hashes[bounds[d]:bounds[d+1]] are
+    the sorted distinct n-word shingles of text d, over words of NOT_SPACE bytes with A-Z
+    lower-cased. A text of fewer words than n has its whole sequence as its one shingle; a text
+    without words, or null, has none."""
     for first, run in blocks(texts):
         w = Words(run, NOT_SPACE)
         h, at = w.grams(n)
         bounds = np.searchsorted(at, w.first)
-        for d in range(len(run)):
-            own = h[bounds[d] : bounds[d + 1]]
-            if len(own):
-                yield first + d, np.unique(own)
-            elif w.first[d + 1] > w.first[d]:
-                short = w.hash[w.first[d] : w.first[d + 1]]
-                g = np.array([len(short)], dtype=np.uint64)
-                for x in short:
-                    g = mix(g * np.uint64(0x2545F4914F6CDD1D) + x)
-                yield first + d, g
-            else:
-                yield first + d, np.empty(0, np.uint64)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            h[a:b].sort()
+        keep = np.ones(len(h), dtype=bool)
+        keep[1:] = h[1:] != h[:-1]
+        keep[bounds[:-1][np.diff(bounds) > 0]] = True
+        kept = np.concatenate([[0], np.cumsum(keep)])[bounds]
+        h = h[keep]
+        short = np.flatnonzero((np.diff(bounds) == 0) & (np.diff(w.first) > 0))
+        if len(short):
+            own = []
+            for d in short:
+                words = w.hash[w.first[d] : w.first[d + 1]]
+                g = np.array([len(words)], dtype=np.uint64)
+                for x in words:
+                    g = mix(g * _STEP + x)
+                own.append(g[0])
+            h = np.insert(h, kept[short], np.array(own, dtype=np.uint64))
+            more = np.zeros(len(kept), dtype=np.int64)
+            more[short + 1] = 1
+            kept = kept + np.cumsum(more)
+        yield first, h, kept
+
+
+def shingle_sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(index, sorted distinct n-word shingle hashes) of each text, as gram_sets has them."""
+    for first, h, bounds in gram_sets(texts, n):
+        for d in range(len(bounds) - 1):
+            yield first + d, h[bounds[d] : bounds[d + 1]]
+
+
+def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of each run values[bounds[d]:bounds[d+1]], modulo 2^64; 0 of an empty run."""
+    upto = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values, out=upto[1:])
+    return upto[bounds[1:]] - upto[bounds[:-1]]
