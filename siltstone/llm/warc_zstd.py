@@ -4,15 +4,18 @@ An archive starts with a skippable frame that holds the dictionary its records w
 with (trained on its own first records); every record is one frame. The reader loads the
 dictionary, decodes frame by frame in small steps, and checks version, mandatory headers,
 lengths and digests; a record that fails is reported with its place and reason, and after a
-frame that can't be decoded, nothing of that archive is trusted.
+frame that can't be decoded, or a dictionary that can't be loaded, nothing of that archive is
+trusted. A frame may hold no more than its record's head declares, so a small frame can't fill
+the memory of a task.
 
 Archives are rows (archive, content) of a table in the shared folder, as Spark's binaryFile source
 would deliver files, so executors need no folder of their own; each task fills its archives as it
 reads, and a repeated task makes the same ones.
 
 Equal payloads are stored once: the row of least page_id is the response, the others revisit
-it. The first row per digest is a grouped minimum (combined before the shuffle); only digests that
-occur again are joined back, so unique pages meet an empty side.
+it. The first row per digest is a grouped minimum (combined before the shuffle). Only digests that
+occur again are joined back: broadcast where they are few, so that no payload is shuffled, else by
+a join whose crowded digests Spark can split.
 
 Defined results: a null payload is empty; rows of equal page_id and payload are all responses if
 theirs is the least id; a null page_id is kept and revisits when another row has its payload;
@@ -35,12 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, small_batches, table
+from siltstone.llm.common import cut, gathered, small_batches, table
 
 DICT_MAGIC = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 FRAME_MAGIC = 0xFD2FB528
-STEP = 1 << 15
+STEP = 1 << 10  # a block of 128 KB takes 4 bytes at least, so a step decodes 32 MB at most
+MOST_HEAD = 1 << 20
+MOST_DICTIONARY = 64 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -62,16 +67,20 @@ def digest32(payload: bytes) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, p: Params) -> bytes:
-    """A WARC/1.1 response or revisit record. The HTTP head of a revisit still tells the length of
-    the payload that it leaves out."""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    """A WARC/1.1 response or revisit record."""
+    return _record(page_id, url, payload, len(payload), digest32(payload), refers_to, revisit, p)
+
+
+def _record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, revisit: bool, p: Params) -> bytes:
+    """The same; a revisit needs no payload. Its HTTP head still tells the length of what it leaves out."""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head if revisit else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{_id(page_id)}>", f"WARC-Date: {p.date}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub("[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url))
     if revisit:
         lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{_id(refers_to)}>"]
-    lines += [f"WARC-Payload-Digest: sha1:{digest32(payload)}", f"WARC-Block-Digest: sha1:{digest32(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{digest32(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -103,6 +112,31 @@ class Broken(ValueError):
     """A frame or record that doesn't keep to the format."""
 
 
+def _dictionary(raw: bytes) -> zstandard.ZstdDecompressor:
+    """A reader with the dictionary of the leading frame, which may itself be compressed."""
+    try:
+        if raw[:4] == struct.pack("<I", FRAME_MAGIC):
+            size = zstandard.get_frame_parameters(raw).content_size
+            if size > MOST_DICTIONARY:  # unknown sizes are the largest number
+                raise Broken("the dictionary's size is unknown or too large")
+            raw = zstandard.ZstdDecompressor().decompress(raw)
+        # a trained dictionary begins with its magic number; others would pass as raw content
+        if raw[:4] != struct.pack("<I", 0xEC30A437):
+            raise Broken("the leading frame holds no dictionary")
+        return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+    except (zstandard.ZstdError, MemoryError) as e:
+        raise Broken(f"dictionary: {e}") from e
+
+
+def _declared(head: bytes) -> int | None:
+    """Bytes of a record by its head, or None while the head isn't complete."""
+    end = head.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    length = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]{1,15})[ \t]*(?=\r\n)", head[: end + 2])
+    return end + 8 + int(length[1]) if length else end + 8
+
+
 def frames(content: bytes) -> Iterator[bytes]:
     """Decoded data frames of an archive in order."""
     view, at, opener = memoryview(content), 0, zstandard.ZstdDecompressor()
@@ -114,25 +148,26 @@ def frames(content: bytes) -> Iterator[bytes]:
             if at + 8 + size > len(view):
                 raise Broken(f"skippable frame at {at} is longer than the archive")
             if magic == DICT_MAGIC and at == 0:
-                raw = bytes(view[8 : 8 + size])
-                if raw[:4] == struct.pack("<I", FRAME_MAGIC):
-                    raw = zstandard.ZstdDecompressor().decompress(raw)
-                opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+                opener = _dictionary(bytes(view[8 : 8 + size]))
             at += 8 + size
             continue
         if magic != FRAME_MAGIC:
             raise Broken(f"no frame at {at}")
-        d, parts, fed = opener.decompressobj(), [], at
+        d, out, most, fed = opener.decompressobj(), bytearray(), None, at
         while not d.eof:
             if fed >= len(view):
                 raise Broken(f"frame at {at} is cut off")
             try:
-                parts.append(d.decompress(bytes(view[fed : fed + STEP])))
-            except zstandard.ZstdError as e:
+                out += d.decompress(bytes(view[fed : fed + STEP]))
+            except (zstandard.ZstdError, MemoryError) as e:
                 raise Broken(f"frame at {at}: {e}") from e
             fed = min(fed + STEP, len(view))
+            if most is None:
+                most = _declared(bytes(out[:MOST_HEAD]))
+            if len(out) > (MOST_HEAD if most is None else most):
+                raise Broken(f"frame at {at} holds more than its head declares")
         at = fed - len(d.unused_data)
-        yield b"".join(parts)
+        yield bytes(out)
 
 
 def parse(raw: bytes) -> dict:
@@ -174,11 +209,12 @@ def parse(raw: bytes) -> dict:
 
 
 def plan(pages: DataFrame, p: Params) -> DataFrame:
-    """page_id, url, payload, revisit and refers_to of every row."""
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
-    firsts = rows.filter(F.length("payload") >= p.least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    again = ~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull() & (F.length("payload") >= p.least_revisit)
-    return rows.join(firsts.select("digest", "first"), "digest", "left").select("page_id", "url", "payload", again.alias("revisit"), F.when(again, F.col("first")).alias("refers_to"))
+    """page_id, url, payload (null of revisits), its size and SHA-1, revisit and refers_to of every row."""
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumns({"size": F.length("payload").cast("long"), "digest": F.sha1("payload")})
+    firsts = rows.filter(F.col("size") >= p.least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+    again = ~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull() & (F.col("size") >= p.least_revisit)
+    joined = rows.join(gathered(firsts.select("digest", "first")), "digest", "left")
+    return joined.select("page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "size", F.unhex("digest").alias("digest"), again.alias("revisit"), F.when(again, F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, p: Params = Params()) -> DataFrame:
@@ -193,8 +229,8 @@ def write_archives(pages: DataFrame, p: Params = Params()) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                page_id, url, payload, revisit, refers_to = row
-                records.append(record(page_id, url, payload, refers_to, revisit, p))
+                page_id, url, payload, length, digest, revisit, refers_to = row
+                records.append(_record(page_id, url, payload, length, base64.b32encode(digest).decode(), refers_to, revisit, p))
                 size += len(records[-1])
                 if size >= p.archive_bytes:
                     yield close()
