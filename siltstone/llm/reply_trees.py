@@ -26,7 +26,7 @@ import hashlib
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import cut, map_rows, table
@@ -40,7 +40,7 @@ _FIND = re.compile("|".join(re.escape(c) for c in _CODE))
 
 @dataclass(frozen=True)
 class Params:
-    """``branches`` best paths of each conversation are formatted; None: all."""
+    """``branches`` best paths of each conversation are formatted; None: all, ranked all the same."""
 
     branches: int | None = None
     loss_roles: tuple[str, ...] = ("assistant",)
@@ -77,21 +77,27 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+def _numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows``, written, with their number from 0 in the given order. Rows are range-partitioned, so no
+    group is sorted in one task; running numbers come from the partitions' sizes."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    kept = cut(placed.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_i")))
+    sizes, first, starts = {r["_part"]: r["count"] for r in kept.groupBy("_part").count().collect()}, 0, []  # a row a partition
+    for k in sorted(sizes):
+        starts.append((k, first))
+        first += sizes[k]
+    offsets = F.broadcast(spark.createDataFrame(starts, "_part int, _first bigint"))
+    return kept.join(offsets, "_part").withColumn(name, (F.col("_i") + F.col("_first")).cast("long")).drop("_part", "_i", "_first")
+
+
 def chain(rows: DataFrame) -> DataFrame:
     """Nodes of plain conversations (conv_id, turn, role, text): each turn replies to the one before.
 
-    Rows are range-partitioned by conversation and turn, so that one long conversation is sorted
-    by many tasks; running numbers come from the partitions' sizes."""
+    One long conversation is sorted by many tasks."""
     keys = ["conv_id", "turn", "role", "text"]
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    numbered = cut(placed.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i")))
-    sizes = {r["part"]: r["count"] for r in numbered.groupBy("part").count().collect()}  # a row a partition
-    first, offsets = 0, {}
-    for k in sorted(sizes):
-        offsets[k], first = first, first + sizes[k]
-    offset = F.create_map(*[F.lit(x) for kv in (offsets or {0: 0}).items() for x in kv])[F.col("part")]
-    nodes = numbered.select("conv_id", (F.col("i") + offset).cast("long").alias("node"), "role", "text")
+    nodes = _numbered(rows.select(*keys), keys, "node").select("conv_id", "node", "role", "text")
     before = nodes.select(F.col("conv_id").alias("_c"), (F.col("node") + 1).alias("_n"), F.col("node").alias("parent"))
     same = (nodes["node"] == before["_n"]) & nodes["conv_id"].eqNullSafe(before["_c"])
     return nodes.join(before, same, "left").select("conv_id", "node", "parent", "role", "text", F.lit(0.0).alias("score"))
@@ -112,11 +118,11 @@ def paths(nodes: DataFrame, p: Params = Params()) -> DataFrame:
         done = done.union(now.filter("up is null"))
         jumps.append(now.filter("up is not null"))
     leaves = done.select("node", "depth", "total").join(nodes.select("conv_id", "node"), "node").join(nodes.select(F.col("parent").alias("node")), "node", "left_anti")
-    order = Window.partitionBy("conv_id").orderBy(F.desc("total"), "node")
+    placed = _numbered(leaves, ["conv_id", F.desc("total"), "node"], "_at")
+    first = cut(placed.groupBy("conv_id").agg(F.min("_at").alias("_from")).withColumnRenamed("conv_id", "_c"))
+    leaves = placed.join(first, placed["conv_id"].eqNullSafe(first["_c"])).withColumn("rank", (F.col("_at") - F.col("_from") + 1).cast("int"))
     if p.branches is not None:
-        leaves = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= p.branches)
-    else:
-        leaves = leaves.withColumn("rank", F.lit(None).cast("int"))
+        leaves = leaves.filter(F.col("rank") <= p.branches)
     on_path = cut(leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.col("depth").alias("pos"), F.col("total").alias("path_score"), "rank"))
     for k, jump in enumerate(jumps):
         step = jump.select("node", "up")
