@@ -37,7 +37,7 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: search linear in texts without spaces.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9_])(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)(?: ?[=:] ?)[\"'][A-Za-z0-9_+/=-]{16,256}+[\"']",
+    "secret": r"(?<![A-Za-z0-9_])(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)(?: ?[=:] ?)[\"'][A-Za-z0-9_+/=-]{16,}+[\"']",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
