@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import decontamination, ngram_jaccard, pii_feistel, piece_lattice, quality_compression
-from siltstone.llm.common import cut, table
+from siltstone.llm.common import cut, drop_cut, table
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_compression", quality_compression.keep_quality),
@@ -27,5 +27,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost executors never repeat an earlier stage."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        drop_cut(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,314 +1,241 @@
-"""Substring dedup: paragraphs that come again, word for word or nearly, are found and removed.
-
-Paragraphs are the lines of a text with at least ``min_words`` words, and runs of shorter lines joined
-until they have as many; such a run ends at a blank line or after a line whose hash says so. Equal ones (the same set of
-five-word shingles) are one class from the start, however many copies there are. Each class has
-``bands`` keys of ``rows`` MinHash values; with 12 bands of 3, two paragraphs of similarity 0.8
-meet in some band with probability 1 - (1 - 0.8^3)^12 > 0.9998. Colliding paragraphs are verified by
-their exact Jaccard index and clustered by components (set_join makes no pairs of a whole group at
-once). In each cluster the first occurrence, by doc_id and line, stays; the others are removed.
-
-In what is left, every passage of ``passage`` words or more that comes again word for word goes too,
-wherever lines begin and end (``passages``): hashes of half that length are winnowed so that each such passage has
-one, and where that occurs twice all its windows of ``passage`` words are compared. Only the words covered go.
-
-A row is a line to remove, or with ``start`` and ``end`` its characters from start to end.
-
-Defined results: a window that overlaps its own repetition, as in "same same same", counts only
-against other lines and texts; null and empty texts have no paragraphs; repeated rows are further occurrences
-of their paragraphs, except that equal (doc_id, line, paragraph) count once; a null doc_id comes
-last; shorter lines go only in runs or passages; other columns are not read.
+"""Substring dedup: short paragraphs that come again, word for word or nearly, are found and removed.
+
+Paragraphs don't depend on line breaks. A text is cut at content-defined places: in every run of
+``window`` words there is a cut, after a word that ends a sentence if the run has one, else after the word
+of least hash. Parts of fewer than ``min_words`` words join the part that follows. So a passage that
+stands in two texts is cut alike in both, but for its first and last part; one of over 50 words
+has whole paragraphs inside, whatever stands around it.
+
+Equal paragraphs (the same set of five-word shingles) are one class from the start, however many copies
+there are. Each class has ``bands`` keys of ``rows`` MinHash values; with 12 bands of 3, two paragraphs of
+similarity 0.8 meet in some band with probability 1 - (1 - 0.8^3)^12 > 0.9998. Which keys come
+again is counted first (``frequency``), so only paragraphs with such a key become rows. Colliding
+paragraphs are verified by their exact Jaccard index and clustered by components (set_join makes
+no pairs of a whole group at once). In each cluster the first occurrence, by doc_id and place,
+stays; the others are removed.
+
+A row is a paragraph to remove: ``start`` and ``end`` count the characters of the text from 0, without the
+white space around the paragraph.
+
+Defined results: null and empty texts have no paragraphs; a text of fewer than ``min_words`` words,
+or what is left of that length at the end of a text, is no paragraph and stays; repeated rows of one
+doc_id and text are one occurrence; texts that share a doc_id count each; a null doc_id comes last;
+other columns are not read.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import cut, drop_cut, small_batches, table
-from siltstone.llm.set_join import BITS, digest, is_needed, linked, parity
+from siltstone.llm.frequency import frequent
+from siltstone.llm.ngram_jaccard import shared_places, text_hash, with_hash
+from siltstone.llm.set_join import digests, is_needed, linked, parities
 from siltstone.llm.textkit import NOT_SPACE, Words, blocks, mix
 
 
 @dataclass(frozen=True)
 class Params:
-    """Paragraphs link when ``per`` * intersection >= ``least`` * union of their shingles."""
+    """Paragraphs link when ``per`` * intersection >= ``least`` * union of their shingles. ``size``, ``rounds``
+    and ``linear`` are as in ngram_jaccard."""
 
     n: int = 5
-    min_words: int = 25
+    window: int = 20
+    min_words: int = 8
     bands: int = 12
     rows: int = 3
     least: int = 80
     per: int = 100
     rounds: int = 3
     fragments: int = 1
-    passage: int = 51
-
-
-FILTER = 1 << 27  # bits of the filter of winnowed hashes that come again
-
-
-def units(text: str, p: Params) -> Iterator[tuple[int, list[int], str]]:
-    """(first line, words of each line, text) of every paragraph."""
-    run: list[tuple[int, str]] = []
-
-    def joined(first: int) -> Iterator[tuple[int, list[int], str]]:
-        while run and not run[-1][0]:
-            run.pop()
-        if sum(c for c, _ in run) >= p.min_words:
-            yield first, [c for c, _ in run], "\n".join(x for _, x in run)
-        run.clear()
-
-    first = 0
-    for k, line in enumerate(text.split("\n")):
-        words = line.encode("utf-8", "surrogatepass").split()
-        if len(words) >= p.min_words:
-            yield from joined(first)
-            yield k, [len(words)], line
-        elif run or words:
-            first = first if run else k
-            run.append((len(words), line))
-            if (not words or zlib.crc32(b" ".join(words).lower()) % 8 == 0) and sum(c for c, _ in run) >= p.min_words:
-                yield from joined(first)
-    yield from joined(first)
-
-
-def paragraphs(texts: list[str | None], p: Params) -> Iterator[tuple[int, int, list[int], np.ndarray]]:
-    """(index of the text, line, words of each line, sorted distinct shingle hashes) of every paragraph."""
-    found = [(t, *u) for t, text in enumerate(texts) if text for u in units(text, p)]
-    for first, run in blocks([u[3] for u in found]):
-        w = Words(run, NOT_SPACE)
-        h, at = w.grams(p.n)
-        bounds = np.searchsorted(at, w.first)
-        for d in np.flatnonzero(np.diff(w.first) >= max(p.min_words, p.n)):
-            yield *found[first + d][:3], np.unique(h[bounds[d] : bounds[d + 1]])
-
-
-def _seeds(k: int) -> np.ndarray:
-    return mix(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def band_keys(sets: list[np.ndarray], p: Params) -> np.ndarray:
-    """A row of ``bands`` keys for each set of hashes."""
-    flat, starts = np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])])
-    least = np.stack([np.minimum.reduceat(mix(flat ^ seed), starts) for seed in _seeds(p.bands * p.rows)], axis=1)
-    keys = np.zeros((len(sets), p.bands), dtype=np.uint64)
-    for b in range(p.bands):
-        k = np.full(len(sets), b + 1, dtype=np.uint64)
-        for r in range(p.rows):
-            k = mix(k * np.uint64(0x2545F4914F6CDD1D) + least[:, b * p.rows + r])
-        keys[:, b] = k
-    return keys
-
-
-def _map(docs: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
-    """mapInArrow where ``make`` turns columns of a batch into columns of any length, or None."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
+    linear: int = 8
+    size: int = 27
+
+
+def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
+    """Minimum or maximum of each run of ``width`` elements."""
+    f, have = (np.minimum if least else np.maximum), 1
+    while 2 * have <= width:
+        x, have = f(x[:-have], x[have:]), 2 * have
+    return f(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
+
+
+def _cuts(w: Words, width: int) -> np.ndarray:
+    """Whether a cut follows each word: it is the most preferred one of some run of ``width`` words."""
+    count = len(w) - width + 1
+    chosen = np.zeros(len(w), dtype=bool)
+    if count <= 0:
+        return chosen
+    last, before = w.data[w.end - 1], w.data[np.maximum(w.end - 2, 0)]
+    shut = np.isin(last, np.frombuffer(b"\"')]", np.uint8)) & (w.end - w.start > 1)
+    stop = np.isin(np.where(shut, before, last), np.frombuffer(b".!?", np.uint8))
+    key = (mix(w.hash + np.uint64(7)) >> np.uint64(1)) | (~stop).astype(np.uint64) << np.uint64(63)
+    low = _sliding(key, width, least=True)
+    low[w.doc[:count] != w.doc[width - 1 :]] = 0  # runs end with their text
+    edge = np.zeros(width - 1, dtype=np.uint64)
+    return (_sliding(np.concatenate([edge, low, edge]), width, least=False) == key) & (key > 0)
+
+
+class Paragraphs:
+    """The paragraphs of a block of texts: ``doc``, words ``start`` to ``end``, and their shingles,
+    grams[a[k]:b[k]]."""
+
+    def __init__(self, run: list[bytes], p: Params) -> None:
+        self.words = w = Words(run, NOT_SPACE)
+        filled = w.first[1:][np.diff(w.first) > 0]
+        ends = np.union1d(np.flatnonzero(_cuts(w, p.window)) + 1, filled)
+        long = np.diff(ends, prepend=0) >= p.min_words
+        ends = ends[long | np.isin(ends, filled)]
+        start = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+        keep = ends - start >= max(p.min_words, p.n)
+        self.start, self.end = start[keep], ends[keep]
+        self.doc = w.doc[self.start]
+        self.grams, at = w.grams(p.n)
+        self.a, self.b = np.searchsorted(at, self.start), np.searchsorted(at, self.end - p.n + 1)
+
+    def keys(self, p: Params) -> np.ndarray:
+        """A row of ``bands`` keys for each paragraph."""
+        keys = np.zeros((len(self.start), p.bands), dtype=np.uint64)
+        if not len(self.start):
+            return keys
+        bounds = np.stack([self.a, self.b], axis=1).ravel()
+        for b in range(p.bands):
+            k = np.full(len(self.start), b + 1, dtype=np.uint64)
+            for seed in _SEEDS[b * p.rows : (b + 1) * p.rows]:
+                values = np.append(self.grams * seed, np.uint64(0))
+                k = mix(k * np.uint64(0x2545F4914F6CDD1D) + np.minimum.reduceat(values, bounds)[::2])
+            keys[:, b] = k
+        return keys
+
+    def sets(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct shingles of the chosen paragraphs, one after another, and their bounds."""
+        a, b = self.a[chosen], self.b[chosen]
+        bounds = np.concatenate([[0], np.cumsum(b - a)])
+        h = self.grams[np.arange(bounds[-1]) + np.repeat(a - bounds[:-1], b - a)]
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            h[x:y].sort()
+        keep = np.ones(len(h), dtype=bool)
+        keep[1:] = h[1:] != h[:-1]
+        keep[bounds[:-1]] = True
+        return h[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
+
+    def spans(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last + 1 character, in their texts, of the chosen paragraphs."""
+        w = self.words
+        upto = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+        base = upto[w.offset[self.doc[chosen]]]
+        return upto[w.start[self.start[chosen]]] - base, upto[w.end[self.end[chosen] - 1]] - base
+
+
+#: Odd factors; the least product modulo 2^64 of hashes and one of them is a MinHash value.
+_SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def paragraphs(texts: list[str | None], p: Params) -> Iterator[tuple[int, Paragraphs]]:
+    """(index of the first text, paragraphs) of each block of texts."""
+    for first, run in blocks(texts):
+        yield first, Paragraphs(run, p)
+
+
+def candidates(docs: DataFrame, again: object, p: Params) -> DataFrame:
+    """(doc_id, th, start, end, n_words, sig, n, b0, keys) of the paragraphs with keys that come again, and
+    those keys."""
     small_batches(docs.sparkSession)
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    kinds = [("doc_id", "bigint", pa.int64()), ("th", "bigint", pa.int64()), ("start", "int", pa.int32()), ("end", "int", pa.int32()), ("n_words", "int", pa.int32()), ("sig", "binary", pa.binary()), ("n", "bigint", pa.int64()), ("b0", "bigint", pa.int64()), ("keys", "array<bigint>", pa.list_(pa.int64()))]
+    out = pa.schema([(name, kind) for name, _, kind in kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = make(*(c.to_pylist() for c in batch.columns))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(got, out, strict=True)], schema=out)
-
-    return docs.select(*columns).mapInArrow(run, schema)
-
-
-def occurrences(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, line, words, sig) of every paragraph; words are those of each of its lines."""
-
-    def make(ids: list, texts: list) -> list | None:
-        rows = [(ids[t], k, words, digest(h)) for t, k, words, h in paragraphs(texts, p)]
-        return list(zip(*rows, strict=True)) if rows else None
-
-    return _map(docs, ["doc_id", "text"], "doc_id bigint, line int, words array<int>, sig binary", make)
-
-
-def keyed(docs: DataFrame, p: Params) -> DataFrame:
-    """(sig, n, keys, b0..): one row per paragraph class."""
-    bits = [f"b{i}" for i in range(BITS)]
-
-    def make(texts: list) -> list | None:
-        own = {digest(h): h for _, _, _, h in paragraphs(texts, p)}
-        if not own:
-            return None
-        sets = list(own.values())
-        par = np.array([parity(h) for h in sets])
-        return [list(own), [len(h) for h in sets], list(band_keys(sets, p).view(np.int64)), *(par[:, i] for i in range(BITS))]
-
-    made = _map(docs, ["text"], "sig binary, n bigint, keys array<bigint>, " + ", ".join(f"{b} bigint" for b in bits), make)
-    return made.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "keys", *bits)])
+            for first, own in paragraphs(batch.column(2).to_pylist(), p):
+                keys = own.keys(p)
+                known = again.value.of(keys) > 0
+                chosen = np.flatnonzero(known.any(axis=1))
+                if not len(chosen):
+                    continue
+                h, bounds = own.sets(chosen)
+                start, end = own.spans(chosen)
+                row = pa.array(first + own.doc[chosen])
+                offsets = np.concatenate([[0], np.cumsum(known[chosen].sum(axis=1))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[chosen][known[chosen]].view(np.int64)))
+                words = (own.end - own.start)[chosen]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(x.astype(np.int32)) for x in (start, end, words)), pa.array(digests(h, bounds), pa.binary()), pa.array(np.diff(bounds)), pa.array(parities(h, bounds, 1)[:, 0]), lists], schema=out)
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind, _ in kinds))
 
 
 def shingles(docs: DataFrame, needed: np.ndarray, p: Params) -> DataFrame:
-    """(seg, grams): the sets of the paragraphs in the filter ``needed``."""
+    """(seg, grams): the sets of the paragraphs of the texts in the filter ``needed``."""
     bits = docs.sparkSession.sparkContext.broadcast(needed)
+    small_batches(docs.sparkSession)
+    out = pa.schema([("seg", pa.binary()), ("grams", pa.list_(pa.int64()))])
 
-    def make(texts: list) -> list | None:
-        own = {}
-        for _, _, _, h in paragraphs(texts, p):
-            sig = digest(h)
-            if is_needed(sig, bits.value):
-                own[sig + b"\0"] = h.view(np.int64)
-        return [list(own), list(own.values())] if own else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).filter(pa.array(is_needed(batch.column(0).to_numpy(), bits.value))).to_pylist()
+            for _, own in paragraphs(texts, p):
+                h, bounds = own.sets(np.arange(len(own.start)))
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([s + b"\0" for s in digests(h, bounds)], pa.binary()), lists], schema=out)
 
-    return _map(docs, ["text"], "seg binary, grams array<bigint>", make)
+    return docs.select("th", "text").mapInArrow(run, "seg binary, grams array<bigint>")
 
 
 def repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, line, n_words, kept_doc_id, kept_line, start, end): every line to remove, or part
-    of one, and the place of what stays."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = cut(_lines(docs, p))
-    return lines.withColumns({"start": F.lit(None).cast("int"), "end": F.lit(None).cast("int")}).union(passages(docs, lines, p))
-
-
-def _lines(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, line, n_words, kept_doc_id, kept_line) of the paragraphs to remove, by lines."""
-    found = cut(occurrences(docs, p).distinct())
-    nodes = cut(keyed(docs, p))
-    own = nodes.select("sig", "n", F.explode("keys").alias("key"))
-    shared = own.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    places = cut(own.join(shared, "key").withColumn("i", F.lit(1)))
-    labels = linked(places, nodes.withColumn("size", F.lit(p.bands)), lambda needed: shingles(docs, needed, p), p)
-    drop_cut(nodes, places)
-    named = found.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("cluster", F.coalesce("root", "sig"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
-    first = named.groupBy("cluster").agg(F.min(place).alias("kept"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    return (
-        named.join(first, "cluster").filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line"))))
-        .select("doc_id", F.col("line").alias("_at"), "kept", F.posexplode("words").alias("_k", "n_words"))
-        .select("doc_id", (F.col("_at") + F.col("_k")).alias("line"), "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line"))
-    )
-
-
-class Left:
-    """Words of a text without the lines in ``gone``."""
-
-    def __init__(self, text: str | None, gone: list[int] | None) -> None:
-        out = set(gone or ())
-        kept = [(k, x) for k, x in enumerate((text or "").split("\n")) if k not in out]
-        self.data = "\n".join(x for _, x in kept).encode("utf-8", "surrogatepass")
-        self.words = Words([self.data], NOT_SPACE)
-        breaks = np.flatnonzero(self.words.data == 10)
-        self.at = np.searchsorted(breaks, self.words.start)  # the line of each word, among those kept
-        self.begin = np.concatenate([[0], breaks + 1])
-        self.number = np.array([k for k, _ in kept], dtype=np.int64)
-
-    def windows(self, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(half-window hashes, least of each window, hash of each window)."""
-        half = -(-p.passage // 2)
-        h, _ = self.words.grams(half)
-        n = len(self.words) - p.passage + 1
-        if n <= 0:
-            return h, h[:0], h[:0]
-        least, width, span = h, 1, p.passage - half + 1
-        while 2 * width <= span:
-            least, width = np.minimum(least[:-width], least[width:]), 2 * width
-        rest = span - width
-        least = np.minimum(least[: len(least) - rest], least[rest:])[:n]
-        return h, least, mix(h[:n] * np.uint64(0x2545F4914F6CDD1D) + h[p.passage - half : p.passage - half + n])
-
-
-def _without(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, text, gone, ...): ``docs`` with the lines to remove."""
-    gone = lines.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("line").alias("gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_of"]), "left").select("doc_id", "text", "gone")
-
-
-def passages(docs: DataFrame, lines: DataFrame, p: Params) -> DataFrame:
-    """The rows of passages that come again in ``docs`` without ``lines``."""
-    left = cut(_without(docs, lines).distinct())
-
-    def winnowed(texts: list, gone: list) -> list | None:
-        got = []
-        for text, g in zip(texts, gone, strict=True):
-            _, least, _ = Left(text, g).windows(p)
-            if len(least):
-                got.append(least[np.concatenate([[True], least[1:] != least[:-1]])])
-        return [np.concatenate(got).view(np.int64)] if got else None
-
-    again = _map(left, ["text", "gone"], "h bigint", winnowed).groupBy("h").count().filter("count > 1").select((F.col("h").bitwiseAND(FILTER - 1)).alias("h"))
-    words = again.groupBy(F.shiftright("h", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 31 as int)))").alias("x")).toArrow()
-    needed = np.zeros(FILTER // 32, dtype=np.uint32)
-    needed[words["w"].to_numpy()] = words["x"].to_numpy()  # at most FILTER / 32 rows
-    bits = docs.sparkSession.sparkContext.broadcast(needed)
-
-    def candidates(ids: list, texts: list, gone: list) -> list | None:
-        rows: list[list] = [[], [], [], [], []]
-        for i, text, g in zip(ids, texts, gone, strict=True):
-            t = Left(text, g)
-            h, least, whole = t.windows(p)
-            x = (least & np.uint64(FILTER - 1)).astype(np.int64)
-            at = np.flatnonzero((bits.value[x >> 5] >> (x & 31).astype(np.uint32)) & np.uint32(1))
-            loops = np.zeros(len(at), dtype=bool)
-            for d in range(1, -(-p.passage // 2) + 1):
-                loops |= h[np.minimum(at + d, len(h) - 1)] == h[at]
-            for column, v in zip(rows, ([i] * len(at), at, t.number[t.at[at]], whole[at].view(np.int64), loops), strict=True):
-                column.extend(v)
-        return rows if rows[0] else None
-
-    found = cut(_map(left, ["doc_id", "text", "gone"], "doc_id bigint, pos int, line int, h bigint, loops boolean", candidates))
-    first = found.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos", "line")).alias("kept"), F.count("*").alias("c")).filter("c > 1")
-    there = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line"))
-    apart = ~F.col("loops") & (F.col("pos") - F.col("kept.pos") >= p.passage)
-    twice = found.join(first, "h").filter(~there | apart).groupBy("doc_id", "pos").agg(F.min("kept").alias("kept"))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    same = (F.lag("pos").over(order) == F.col("pos") - 1) & F.lag("kept.doc_id").over(order).eqNullSafe(F.col("kept.doc_id")) & (F.lag("kept.line").over(order) == F.col("kept.line"))
-    marked = twice.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
-    spans = marked.groupBy("doc_id", "_run").agg(F.min("pos").alias("a"), (F.max("pos") + p.passage).alias("b"), F.min_by("kept", "pos").alias("kept"))
-    by_doc = spans.groupBy(F.col("doc_id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("a", "b", F.col("kept.doc_id").alias("doc"), F.col("kept.line").alias("line")))).alias("spans"))
-
-    def rows_of(ids: list, texts: list, gone: list, spans: list) -> list | None:
-        rows = []
-        for i, text, g, own in zip(ids, texts, gone, spans, strict=True):
-            t, done = Left(text, g), 0
-            for s in own:
-                a, b = max(s["a"], done), min(s["b"], len(t.words))
-                while a < b:
-                    k = int(t.at[a])
-                    x, y = np.searchsorted(t.at, [k, k + 1])
-                    e = min(b, int(y))
-                    if a == x and e == y:
-                        place = (None, None)
-                    else:
-                        stop = t.words.start[e] if e < y else t.words.end[e - 1]
-                        place = tuple(len(t.data[t.begin[k] : z].decode("utf-8", "surrogatepass")) for z in (t.words.start[a], stop))
-                    rows.append((i, int(t.number[k]), e - a, s["doc"], s["line"], *place))
-                    a = e
-                done = max(done, b)
-        return list(zip(*rows, strict=True)) if rows else None
-
-    there = left.join(by_doc, left["doc_id"].eqNullSafe(by_doc["_of"]))
-    return _map(there, ["doc_id", "text", "gone", "spans"], "doc_id bigint, line int, n_words int, kept_doc_id bigint, kept_line int, start int, end int", rows_of)
+    """(doc_id, th, start, end, n_words, kept_doc_id, kept_start): every paragraph to remove, with the hash
+    of its text, and the place of the one that stays."""
+    docs, sc = with_hash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), docs.sparkSession.sparkContext
+
+    def keys(texts: pa.Array) -> Iterator[np.ndarray]:
+        for _, own in paragraphs(texts.to_pylist(), p):
+            yield own.keys(p).ravel()
+
+    again = sc.broadcast(frequent(docs, ["text"], keys, (1,), p.size))
+    found = cut(candidates(docs, again, p))
+    again.unpersist()
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "th")
+    own = found.groupBy("sig").agg(F.first(F.struct("th", "n", "b0", "keys")).alias("x"), F.min(place).alias("place"), F.count("*").alias("copies"))
+    nodes = cut(own.select(F.monotonically_increasing_id().alias("node"), "sig", "x.*", "place", "copies").withColumn("size", F.lit(p.bands)))
+
+    def listed(lists: pa.Array) -> Iterator[np.ndarray]:
+        yield lists.flatten().to_numpy().view(np.uint64)
+
+    common = sc.broadcast(frequent(nodes, ["keys"], listed, (1,), p.size))
+    places = shared_places(nodes, "keys", common)
+    common.unpersist()
+    labels = linked(places.withColumn("i", F.lit(1).cast("long")), nodes.select("node", "sig", "th", "n", "b0", "size"), lambda needed: shingles(docs, needed, p), p)
+    clusters = nodes.select("node", "sig", "place", "copies").join(labels, "node", "left").withColumn("cluster", F.coalesce("root", "node")).filter("copies > 1 or root is not null")
+    first = clusters.groupBy("cluster").agg(F.min("place").alias("kept"))
+    named = cut(clusters.join(first, "cluster").select("sig", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), F.col("kept.th").alias("kept_th")))
+    drop_cut(nodes, places, labels)
+    other = ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start")) & (F.col("th") == F.col("kept_th")))
+    return found.join(named, "sig").filter(other).select("doc_id", "th", "start", "end", "n_words", "kept_doc_id", "kept_start").distinct()
 
 
 def remove(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` without the lines and parts of lines in ``repeated``."""
-    lines = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("line", "start", "end")).alias("_lines")).withColumnRenamed("doc_id", "_of")
-    joined = docs.join(lines, docs["doc_id"].eqNullSafe(lines["_of"]), "left")
+    """All rows and columns of ``docs`` without the paragraphs in ``repeated``, and without the white space
+    that follows them."""
+    spans = repeated.groupBy(F.col("doc_id").alias("_of"), F.col("th").alias("_hash")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_of"]) & (text_hash(docs["text"]) == spans["_hash"]), "left")
 
     @F.udf("string")
-    def without(text: str | None, parts: list) -> str | None:
-        if text is None or not parts:
+    def without(text: str | None, spans: list) -> str | None:
+        if text is None or not spans:
             return text
-        out = text.split("\n")
-        for line, start, end in sorted(parts, key=lambda x: (x[0], x[1] or 0), reverse=True):
-            if line < len(out) and out[line] is not None:
-                out[line] = None if start is None else out[line][:start] + out[line][end:]
-        return "\n".join(x for x in out if x is not None)
-
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(without("text", "_lines"))
+        out, at = [], 0
+        for s, e in spans:
+            out.append(text[at:s])
+            while e < len(text) and text[e].isspace():
+                e += 1
+            at = max(at, e)
+        return "".join([*out, text[at:]])
+
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without("text", "_spans"))
     return joined.select(*[text.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])
 
 

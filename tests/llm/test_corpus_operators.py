@@ -8,12 +8,13 @@ import re
 import struct
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import components, decontamination, ngram_jaccard, paragraph_minhash, piece_lattice, reply_trees, set_join, warc_zstd, wrapper_induction
+from siltstone.llm import components, decontamination, ngram_jaccard, paragraph_minhash, piece_lattice, reply_trees, set_join, textkit, warc_zstd, wrapper_induction
 
 ODD = [None, "", " ", "one", "two words", "é" * 20_000, "same same " * 4_000]
 
@@ -84,10 +85,10 @@ def test_jaccard_components_equal_all_pairs(spark, docs, folder, query, seed):
     assert sorted(map(tuple, got)) == jaccard_brute(pairs)
 
 
-def test_jaccard_without_rounds_is_the_same(docs):
+def test_jaccard_is_the_same_without_rounds_and_with_rounds_throughout(docs):
     pairs = list(enumerate(near_copies(4)))
-    p = ngram_jaccard.Params(rounds=0, fragments=3)
-    assert sorted(map(tuple, ngram_jaccard.groups(docs(pairs), p).collect())) == jaccard_brute(pairs)
+    for p in (ngram_jaccard.Params(rounds=0, fragments=3), ngram_jaccard.Params(linear=0, classes=(1, 3, 5), size=16)):
+        assert sorted(map(tuple, ngram_jaccard.groups(docs(pairs), p).collect())) == jaccard_brute(pairs)
 
 
 def test_jaccard_of_empty_and_null_tables_and_the_stage(spark, docs):
@@ -100,50 +101,75 @@ def test_jaccard_of_empty_and_null_tables_and_the_stage(spark, docs):
 
 
 def test_parity_bounds_the_difference():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 400, 120).astype(np.uint64) * np.uint64(2654435761)) for _ in range(2))
-        bits = sum(int(x).bit_count() for x in (set_join.parity(a) ^ set_join.parity(b)).view(np.uint64))
+        both = set_join.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        bits = sum(int(x).bit_count() for x in (both[0] ^ both[1]).view(np.uint64))
         assert bits <= len(np.setxor1d(a, b))
 
 
 # --- 8: paragraphs -----------------------------------------------------------------------------
 
 
+def paragraphs_brute(text, p):
+    """(start, end, shingles) of every paragraph, window by window."""
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer("[^\x20\x09-\x0d]+", text or "")]
+    if not words:
+        return []
+    h = textkit.Words([text.encode()], textkit.NOT_SPACE).hash
+    ends = [bool(re.search("[.!?][\"')\\]]?$", w)) for _, _, w in words]
+    key = [(not e, int(textkit.mix(h[k : k + 1] + np.uint64(7))[0] >> np.uint64(1))) for k, e in enumerate(ends)]
+    cuts = {len(words)}
+    for k in range(len(words) - p.window + 1):
+        least = min(key[k : k + p.window])
+        cuts |= {j + 1 for j in range(k, k + p.window) if key[j] == least}
+    out, start, at = [], 0, 0
+    for c in sorted(cuts):
+        if c - at >= p.min_words or c == len(words):
+            if c - start >= p.min_words:
+                own = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for _, _, w in words[start:c]]
+                out.append((words[start][0], words[c - 1][1], {tuple(own[j : j + 5]) for j in range(len(own) - 4)}))
+            start = c
+        at = c
+    return out
+
+
 def test_repeated_paragraphs_equal_all_pairs(spark, docs, folder, query):
-    rng = random.Random(7)
+    rng, p = random.Random(7), paragraph_minhash.Params()
     near = near_copies(8, n_groups=4, size=6, words=55)
-    pairs = [(i, f"intro {i}\n{t}\nshort line\n" + (near[0] if i % 5 == 0 else f"own {rng.random()}")) for i, t in enumerate(near)]
-    pairs += [(100 + i, t) for i, t in enumerate(ODD)] + [(200, near[3] + "\n" + near[3])]
-    places = []
-    for i, t in pairs:
-        for k, line in enumerate((t or "").split("\n")):
-            w = line.lower().split()
-            if len(w) >= 25:
-                places.append((i, k, {tuple(w[j : j + 5]) for j in range(len(w) - 4)}))
+    long, own = ([f"z{rng.randrange(10**6)}" for _ in range(k)] for k in (40, 9))
+    dots = [" ".join(w + "." if rng.random() < 0.1 else w for w in t.split()) for t in near]
+    pairs = [(i, f"intro {i}\n{t}\nshort line\n" + (near[0] if i % 5 == 0 else f"own {rng.random()}")) for i, t in enumerate(dots)]
+    pairs += [(100 + i, t) for i, t in enumerate(ODD)] + [(200, near[3] + "\n" + near[3]), (201, " ".join(long)), *[(201, f"{' '.join(own)}. {' '.join(long[:39])}")] * 2, (None, near[4])]
+    sentences = [[f"s{rng.randrange(10**6)}" for _ in range(18)] for _ in range(4)]
+    pairs += [(300 + k, " ".join(f"{['Some', 'Other'][k]} {' '.join(x)}." for x in sentences)) for k in range(2)]
+    places = sorted({(i is None, i, s, e, frozenset(x)) for i, t in pairs for s, e, x in paragraphs_brute(t, p)}, key=lambda x: (x[0], x[1] or 0, x[2], x[3]))
     u = Union()
-    for x, (_, _, a) in enumerate(places):
+    for x, (*_, a) in enumerate(places):
         u.find(x)
-        for y, (_, _, b) in enumerate(places[:x]):
+        for y, (*_, b) in enumerate(places[:x]):
             if 100 * len(a & b) >= 80 * len(a | b):
                 u.join(x, y)
-    clusters = defaultdict(list)
-    for x, (i, k, _) in enumerate(places):
-        clusters[u.find(x)].append((i, k))
-    expected = sorted((*m, *min(c)) for c in clusters.values() for m in c if m != min(c))
+    expected = [(i, s, e, places[u.find(x)][1], places[u.find(x)][2]) for x, (_, i, s, e, _) in enumerate(places) if u.find(x) != x]
     d = docs(pairs)
     got = query("op8_paragraph_minhash")(spark, folder(documents=d))
-    assert sorted((r["doc_id"], r["line"], r["kept_doc_id"], r["kept_line"]) for r in got.collect()) == expected
+    assert sorted(map(str, ((r["doc_id"], r["start"], r["end"], r["kept_doc_id"], r["kept_start"]) for r in got.collect()))) == sorted(map(str, expected))
+    assert len(expected) > 25 and sum(places[u.find(x)][4] != a for x, (*_, a) in enumerate(places)) > 2
     left = paragraph_minhash.remove(d, got)
-    assert left.count() == len(pairs) and paragraph_minhash.repeats(left).count() == 0
+    assert left.count() == len(pairs) and left.columns == d.columns
     assert paragraph_minhash.repeats(docs([])).count() == 0
 
 
 def test_bands_have_the_recall_they_are_tuned_for():
     p = paragraph_minhash.Params()
     assert 1 - (1 - (p.least / p.per) ** p.rows) ** p.bands > 0.9998
+    rng, met = random.Random(3), 0
+    for _ in range(300):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(19)]  # one word more at the end: 15 of 16 shingles
+        one, two = (paragraph_minhash.Paragraphs([" ".join(t).encode()], paragraph_minhash.Params(window=99)) for t in (base, [*base, "x", "y", "z"]))
+        met += bool((one.keys(p) == two.keys(p)).any())
+    assert met >= 296
 
 
 # --- 9: archives -------------------------------------------------------------------------------
@@ -170,16 +196,24 @@ def test_archives_read_back_what_was_written(spark, folder, query):
     assert warc_zstd.read_archives(warc_zstd.write_archives(pages_of(spark, []))).count() == 0
 
 
-def test_reader_uses_the_dictionary_and_reports_damage():
+def test_reader_uses_the_dictionary_and_reports_damage(spark):
     p = warc_zstd.Params()
     records = [warc_zstd.record(i, "http://h/", b"<html>some common page text " + str(i).encode() * 30, None, False, p) for i in range(300)]
     data = warc_zstd.pack(records, p)
     assert struct.unpack("<I", data[:4])[0] == warc_zstd.DICT_MAGIC
     assert list(warc_zstd.frames(data)) == records
     assert len(data) < len(b"".join(zstandard.compress(r) for r in records))
-    for bad in (data[:-3], data + b"zz", data + b"\0" * 20, data[:20] + data[40:]):
-        with pytest.raises((warc_zstd.Broken, zstandard.ZstdError)):
+    size = struct.unpack("<I", data[4:8])[0]
+    flipped = bytearray(data)
+    flipped[size // 2] ^= 0xFF
+    huge = zstandard.ZstdCompressor(level=1).compress(b"\0" * (80 << 20))
+    bombs = [struct.pack("<II", warc_zstd.DICT_MAGIC, len(huge)) + huge, zstandard.compress(b"WARC/1.1\r\nContent-Length: 5\r\n\r\n" + b"\0" * (300 << 20)), zstandard.compress(b"x" * (300 << 20))]
+    damaged = [data[:-3], data + b"zz", data + b"\0" * 20, data[:20] + data[40:], bytes(flipped), data[:size // 2], struct.pack("<II", warc_zstd.DICT_MAGIC, 5) + b"hello", *bombs]
+    for bad in damaged:
+        with pytest.raises(warc_zstd.Broken):
             list(warc_zstd.frames(bad))
+    read = warc_zstd.read_archives(spark.createDataFrame([(f"a{i}", bytearray(bad)) for i, bad in enumerate(damaged)], "archive string, content binary")).collect()
+    assert {r["archive"] for r in read if r["error"]} == {f"a{i}" for i in range(len(damaged))}
     one = records[0]
     for bad in (one[:-1], one.replace(b"WARC/1.1", b"HTTP/1.1"), one.replace(b"WARC-Date", b"WARC-Day"), one.replace(b"common", b"cammon"), one.replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 9", 1)):
         with pytest.raises(warc_zstd.Broken):
@@ -221,10 +255,70 @@ def test_constant_texts_of_a_host_are_template(spark):
     assert {r["page_id"]: r["text"] for r in joined.collect()} == got
 
 
-def test_tree_matching_is_the_largest_ordered_one():
-    a, b = (wrapper_induction.parse(f"<body>{x}</body>") for x in ("<div><p>1</p><ul><li>a</li><li>b</li></ul><p>2</p></div>", "<div><ul><li>a</li></ul><p>1</p><ul><li>a</li><li>b</li></ul></div>"))
-    pairs = []
-    assert wrapper_induction.match(a, b, pairs) == len(pairs) == 6
+def matching_brute(a, b):
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + matching_brute(x, y))
+    return best[-1][-1] + 1
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 4])
+def test_tree_matching_is_the_largest_ordered_one(monkeypatch, cells):
+    monkeypatch.setattr(wrapper_induction.Match, "CELLS", cells)
+    rng = random.Random(12)
+
+    def tree(depth):
+        if not depth or rng.random() < 0.3:
+            return rng.choice(["<p>x</p>", '<p class="a">y</p>', "<hr>"])
+        tag = rng.choice(["div", "ul", "section"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 5))) + f"</{tag}>"
+
+    for _ in range(150):
+        a, b = (wrapper_induction.parse("".join(tree(3) for _ in range(rng.randint(1, 5)))) for _ in range(2))
+        pairs = []
+        assert wrapper_induction.match(a, b, pairs) == len(pairs) == matching_brute(a, b)
+        places = sorted((x.index, y.index) for x, y in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(places, places[1:], strict=False))
+        assert all(x.label == y.label for x, y in pairs)
+
+
+def test_hostile_markup_takes_linear_time_and_heads_need_no_end(spark):
+    import time
+
+    began = time.perf_counter()
+    for page in ('<x "' * 50_000, '<a b="' * 50_000, "<!" * 50_000, "<div " * 50_000, "<a b='x" * 50_001, "<svg" * 50_000, "<div>" * 50_000):
+        wrapper_induction.layout(page, 3)
+        wrapper_induction.extract(wrapper_induction.parse(page), [], [], wrapper_induction.Params())
+    assert time.perf_counter() - began < 30
+    rows = [(1, "http://x/", "<html><head><title>t</title><meta charset=utf-8><body><p>no end of head</p>"), (2, "http://y/", '<head><style>x</style></head><p title=">">one &lt; two</p>'), (3, "http://z/", "<p>before</p><p a='open>rest"), (4, "http://w/", "<head><title>a</title><body><p>text</p><script>'</head>'</script>")]
+    got = {r["page_id"]: r["text"] for r in wrapper_induction.main_text(pages_of(spark, rows)).collect()}
+    assert got == {1: "no end of head", 2: "one < two", 3: "before", 4: "text"}
+    assert wrapper_induction.main_text(pages_of(spark, [])).count() == 0
+
+
+def test_induction_needs_no_names_and_every_layout_has_its_own(spark):
+    rng = random.Random(13)
+    text = lambda k: " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=k))
+    rows, expected = [], {}
+    for i in range(60):
+        story = [f"T{i}", text(60), text(70)]
+        menu = "".join(f'<p>{text(2)} {i}</p>' for _ in range(4))
+        body = f'<div class="k1">{menu}</div><div class="k2"><h1>{story[0]}</h1><p>{story[1]}</p><p>Follow our channel for more</p><p>{story[2]}</p></div><div class="k3"><p>{text(9)}</p></div>'
+        if i % 3 == 0:  # another layout of the same host, larger than 64 KB
+            body = f'<section class="q{i}"><div class="menu content"><p>{text(3)}</p></div><div class="k9"><!--{"x" * 70_000}--><p>{story[0]} {story[1]}</p><p>Write to us today</p></div></section>'
+            story = [f"{story[0]} {story[1]}"]
+        rows.append((i, f"http://one.example/{i}", f"<body>{body}</body>"))
+        expected[i] = " ".join(story)
+    pages = pages_of(spark, rows)
+    got = {r["page_id"]: r["text"] for r in wrapper_induction.main_text(pages).collect()}
+    assert got == expected
+    alone = {i: wrapper_induction.extract(wrapper_induction.parse(h), [], [], wrapper_induction.Params()) for i, _, h in rows}
+    assert all(alone[i] != expected[i] for i in expected)
+    joined = wrapper_induction.main_text(pages, wrapper_induction.Params(broadcast_bytes=0))
+    assert {r["page_id"]: r["text"] for r in joined.collect()} == expected
 
 
 # --- 2: reply trees ------------------------------------------------------------------------------
@@ -323,22 +417,28 @@ def test_the_pipeline_drops_copies_of_five_word_jaccard_over_080(spark, docs):
     assert {r["component_id"] for r in ngram_jaccard.groups(rows).collect()} == {1, 3, 5}
 
 
-def test_repeated_passages_are_found_across_short_lines_and_inside_long_ones(docs):
+def test_passages_that_begin_and_end_inside_lines_are_found_and_cut_out(docs):
     rng = random.Random(5)
-    new = lambda k: [f"n{rng.randrange(10**9)}" for _ in range(k)]
+    new = lambda k: [f"n{rng.randrange(10**9)}" + rng.choice(["", "", "", "", "."]) for _ in range(k)]
     wrap = lambda w, k: "\n".join(" ".join(w[i : i + k]) for i in range(0, len(w), k))
-    a, b, c = new(60), new(60), new(60)
-    near = [x if i != 30 else "other" for i, x in enumerate(c)]
-    own = [" ".join(new(100)) for _ in range(4)]
-    pairs = [(1, wrap(a, 9)), (2, f"{own[0]}\né {wrap(a, 11)}"), (3, f"{own[1]} {' '.join(b)}"), (4, f"é {own[2]} {' '.join(b)} {own[3]}"), (5, wrap(c, 10)), (6, wrap(near, 10)), (7, "loop " * 300)]
+    pairs, whole = [], {}
+    for k in range(60):
+        passage, own = new(51 + k % 30), [new(40), new(40), new(30), new(30)]
+        pairs += [(2 * k, wrap(own[0] + passage + own[1], 9)), (2 * k + 1, f"é {' '.join(own[2])} {' '.join(passage)} {' '.join(own[3])}")]
+        whole[2 * k + 1] = (["é", *own[2]], passage, own[3])
+    pairs.append((999, "loop " * 300))
     d = docs(pairs)
     rows = d.sparkSession.createDataFrame((made := paragraph_minhash.repeats(d)).collect(), made.schema)
     got = rows.collect()
-    assert {r["doc_id"]: r["kept_doc_id"] for r in got} == {2: 1, 4: 3, 6: 5}
-    left = {r["doc_id"]: (r["text"] or "").split() for r in paragraph_minhash.remove(d, rows).collect()}
-    whole = {i: t.split() for i, t in pairs}
-    assert all(left[i] == whole[i] for i in (1, 3, 5, 7))
-    assert [w for w in left[2] if w != "é"] == own[0].split() and left[4] == f"é {own[2]} {own[3]}".split() and not left[6]
+    assert all(r["kept_doc_id"] == r["doc_id"] - 1 and r["doc_id"] % 2 for r in got if r["doc_id"] != 999)
+    found = {r["doc_id"] for r in got} - {999}
+    assert len(found) >= 57
+    left = {r["doc_id"]: r["text"].split() for r in paragraph_minhash.remove(d, rows).collect()}
+    for i, (before, passage, after) in whole.items():
+        # words next to a passage go only as less than a fifth of a paragraph
+        assert left[i][: len(before) - 5] == before[:-5] and left[i][len(left[i]) - len(after) + 5 :] == after[5:]
+        assert len(left[i]) < len(before + passage + after) if i in found else left[i] == before + passage + after
+    assert all(left[i] == t.split() for i, t in pairs if i % 2 == 0)
 
 
 def test_copies_are_no_template_and_other_text_at_a_constant_place_stays(spark):
@@ -349,3 +449,22 @@ def test_copies_are_no_template_and_other_text_at_a_constant_place_stays(spark):
     got = {r["page_id"]: r["text"] for r in wrapper_induction.main_text(pages_of(spark, rows)).collect()}
     assert {got[i] for i in range(6)} == {"One title The same article at many addresses"}
     assert all(got[100 + i] == f"N{i} {'story ' * (i + 3)}{i}" + (" Real words of this page" if i == 11 else "") for i in range(12))
+
+
+def test_empty_tables_and_null_columns_everywhere(spark, docs, folder, query):
+    conversations = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string, n int")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id bigint, text string")
+    path = folder(documents=docs([]), conversations=conversations, labels=labels, benchmark=bench, pages=pages_of(spark, []))
+    rows = {n: query(n)(spark, path).count() for n in ("op1_piece_lattice", "op2_reply_trees", "op3_pii_feistel", "op4_tokeniser_fertility", "op5_winnowing", "op6_ngram_jaccard", "op7_wrapper_induction", "op8_paragraph_minhash", "op9_warc_zstd", "op10_quality_compression")}
+    assert rows.pop("op2_reply_trees") == 1 and set(rows.values()) == {0}
+    assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_the_stage_judges_rows_that_share_an_id_by_their_texts(spark, docs):
+    words = [f"w{i}" for i in range(200)]
+    near = [w if i != 50 else "other" for i, w in enumerate(words)]
+    rows = [(4, " ".join(words)), (4, " ".join(near)), (4, "a text of its own"), (9, " ".join(near)), (None, " ".join(words)), (4, "a text of its own")]
+    kept = ngram_jaccard.keep_one(spark, docs(rows), "").collect()
+    assert [r["doc_id"] for r in kept] == [4, 4]
+    assert {r["text"] for r in kept} in ({"a text of its own", t} for _, t in rows[:2])

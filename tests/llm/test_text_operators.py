@@ -217,6 +217,53 @@ def test_bands_reject_what_leaves_the_usual_range(spark, docs, folder, query):
     assert all(out[i]["base_failed"] and not out[i]["kept"] for i in (1001, 1002, 1003))
 
 
+def test_byte_fallback_is_what_the_piece_library_does():
+    import sentencepiece
+
+    p = quality_fertility.Params()
+    v = quality_fertility.Vocabulary(f"{p.tokenizers}/{p.vocabulary}", f"{p.tokenizers}/{p.pieces}")
+    model = sentencepiece.SentencePieceProcessor(model_file=f"{p.tokenizers}/{p.pieces}")
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice("abcé ßñ☃漢字кирぁ😀\u0301ﬁ\u1234") for _ in range(rng.randint(1, 30))).strip() or "x"
+        in_bytes = sum(model.is_byte(i) for i in model.encode(text))
+        spelt = [c for c in text if v.spelt[ord(c)] and not c.isspace()]
+        assert in_bytes == sum(len(c.encode()) for c in spelt)
+        assert abs(v.figures(text)[1] - len(spelt) / len("".join(text.split()))) < 1e-12
+
+
+@pytest.mark.parametrize("min_docs", [3, 8, 1000])
+def test_bands_equal_a_plain_computation(spark, min_docs):
+    rng = random.Random(5)
+    word = lambda k: "".join(rng.choices("etaoinshr" if k else "\u1234\u1235abc", k=rng.randint(1, 9)))
+    rows = [(i, " ".join(word(i % 17 > 0 or rng.random() < 0.7) for _ in range(rng.randint(40, 90))), rng.choice(["en", "de", "xx", None])) for i in range(60)] + [(99, None, "en"), (98, "", None)]
+    p = quality_fertility.Params(min_docs=min_docs)
+    figures = quality_fertility.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"), p)
+    got = {r["doc_id"]: r for r in quality_fertility.judge(figures, p).collect()}
+    figs = {r["doc_id"]: r.asDict() for r in figures.collect()}
+    failed = lambda f: f["n_words"] < 50 or 100 * f["n_repeat_words"] > 50 * f["n_words"]
+    usable = [f for f in figs.values() if not failed(f)]
+    rejected = 0
+    for f in figs.values():
+        group = [u for u in usable if f["lang"] is not None and u["lang"] == f["lang"]]
+        if len(group) < min_docs:
+            group = [u for u in usable if u["script"] == f["script"]]
+        if len(group) < min_docs:
+            group = usable
+        left = []
+        for name, below, above, floor in p.bands:
+            bins = sorted(int(u[name] * 1000 + 0.5) for u in group)
+            q1, q2, q3 = (bins[-(-len(bins) * k // 4) - 1] / 1000 for k in (1, 2, 3))
+            low, high = q2 - max(below * (q3 - q1), floor), q2 + max(above * (q3 - q1), floor)
+            if not low <= f[name] <= high:
+                left.append(name)
+        r = got[f["doc_id"]]
+        assert (r["base_failed"], r["kept"], r["left_bands"]) == (failed(f), not failed(f) and not left, ",".join(left))
+        rejected += not failed(f) and bool(left)
+    assert rejected and any("byte_share" in r["left_bands"] for r in got.values())
+    assert quality_fertility.judge(figures.limit(0), p).count() == 0
+
+
 # --- 5: decontamination --------------------------------------------------------------------
 
 
