@@ -366,6 +366,33 @@ def alert_for_duration(spark: SparkSession, d: str) -> DataFrame:
     return statistics.firing(samples, ["instance"], F.col("errors").cast("double") / F.col("total") > 0.15, 120, 3600)
 
 
+BY_HOUR = """h AS (SELECT user_id % 5 AS i, date_trunc('hour', ts) AS ts, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2)"""
+RUNS = """g AS (SELECT *, ts > lag(ts) OVER (PARTITION BY i ORDER BY ts) + INTERVAL 1 HOUR AS gap FROM c),
+r AS (SELECT *, sum(CASE WHEN c AND NOT coalesce(gap, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY i ORDER BY ts) AS run FROM g),
+f AS (SELECT i, run, ts, min(ts) OVER (PARTITION BY i, run) AS s FROM r WHERE c)"""
+
+
+def by_hour(spark: SparkSession, d: str) -> DataFrame:
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    return events(spark, d).groupBy((F.col("user_id") % 5).alias("i"), hour.alias("ts")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query(f"""WITH {BY_HOUR}, c AS (SELECT i, ts, CASE WHEN n % 4 = 1 THEN 0 ELSE 1 END = 0 AS c FROM h), {RUNS}
+SELECT i, min(ts) AS fired_at FROM f WHERE ts >= s + INTERVAL 60 MINUTE GROUP BY i, run""")
+def down_alert(spark: SparkSession, d: str) -> DataFrame:
+    """up == 0 for an hour; an instance counts as down in hours of 1, 5, 9 ... events."""
+    samples = by_hour(spark, d).withColumn("up", F.when(F.col("n") % 4 == 1, 0).otherwise(1))
+    return statistics.firing(samples, ["i"], F.col("up") == 0, 60, 3600)
+
+
+@query(f"""WITH {BY_HOUR}, c AS (SELECT i, ts, n::DOUBLE / users > 1.05 AS c FROM h), {RUNS}
+SELECT i, min(ts) AS fired_at FROM f WHERE ts >= s + INTERVAL 60 MINUTE GROUP BY i, run""")
+def amplification_alert(spark: SparkSession, d: str) -> DataFrame:
+    """A ratio above its limit for an hour: writes for each key."""
+    samples = by_hour(spark, d).withColumn("amplification", F.col("n").cast("double") / F.col("users"))
+    return statistics.firing(samples, ["i"], F.col("amplification") > 1.05, 60, 3600)
+
+
 @query(f"""WITH {OUTCOMES} SELECT file_id::VARCHAR AS instance, TIMESTAMP '2026-01-01' AS fired_at FROM bad WHERE e - bad > 0""")
 def torn_alert(spark: SparkSession, d: str) -> DataFrame:
     """An alert without a duration: torn bytes above 0."""
