@@ -81,6 +81,7 @@ CONTENT = set("content article main post entry body story text".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=][^\s/>=]*+|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>][^\s>]*+)?)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _HEAD = re.compile(r"<(?:(/head)\b[^>]*>|body\b)", re.I)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NUMBER = re.compile("[0-9]+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DEEPEST = 512
 
@@ -161,7 +162,7 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
         return tag, tag in NAMED
     a = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     words = {w.lower() for w in _WORD.findall(a.get("class", "") + " " + a.get("id", ""))}
-    label = f"{tag}.{a['class']}" if a.get("class") else tag
+    label = f"{tag}.{_NUMBER.sub('', a['class'])}" if a.get("class") else tag  # class="post-17" is that of its siblings
     if tag in ("main", "html", "body") or a.get("role") == "main":
         return label, False
     hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
@@ -204,7 +205,7 @@ def layout(page: str | None, levels: int) -> int:
         path = None
         if len(stack) < levels:
             word = _CLASS.search(m[3])
-            path = (stack[-1][1] if stack else "") + "/" + tag + "." + (re.sub("[0-9]+", "", word[1]) if word else "")
+            path = (stack[-1][1] if stack else "") + "/" + tag + "." + (_NUMBER.sub("", word[1]) if word else "")
             paths.add(path)
         stack.append((tag, path))
     return int.from_bytes(hashlib.blake2b("\n".join(sorted(paths)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
