@@ -42,7 +42,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, drop_cut, map_rows, small_batches, table
+from siltstone.llm.common import cut, drop_cut, gathered, map_rows, small_batches, table
 
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # trees of DEEPEST levels, a few calls each
 
@@ -408,20 +408,29 @@ def _least(k: int) -> F.Column:
     return F.struct(least["page_id"].alias("page_id"), least["html"].alias("html"))
 
 
-def with_layout(pages: DataFrame, p: Params) -> DataFrame:
-    """``pages`` with the layout of each."""
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in pages.columns}
+def with_layout(pages: DataFrame, columns: list[str], p: Params) -> DataFrame:
+    """``columns`` of ``pages`` with the layout of each."""
+    kinds = {c: pages.schema[c].dataType.simpleString() for c in columns}
 
     def rows(got: dict[str, list]) -> dict[str, list]:
         return got | {"layout": [layout(h, p.levels) for h in got["html"]]}
 
-    return map_rows(pages, pages.columns, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", layout bigint", rows)
+    return map_rows(pages, list(dict.fromkeys([*columns, "html"])), ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", layout bigint", rows)
 
 
 def contents(pages: DataFrame, p: Params) -> DataFrame:
-    """(host, layout, page_id, html): every distinct content of a host once, with its least page_id."""
-    filled = with_layout(pages.filter(F.octet_length("html") > 0).select("page_id", "html", "host"), p)
-    return filled.groupBy("host", "layout", F.sha2("html", 256).alias("_digest")).agg(F.min("page_id").alias("page_id"), F.first("html").alias("html")).drop("_digest")
+    """(host, layout, page_id, html): every distinct content of a host once, with its least page_id.
+    Only ids and digests are grouped; the pages of the least ids are joined back."""
+    filled = pages.filter(F.octet_length("html") > 0).select("page_id", "html", "host", F.sha2("html", 256).alias("digest"))
+    counted = with_layout(filled, ["page_id", "host", "digest"], p).groupBy("host", "layout", "digest", "page_id").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "n"))
+    firsts = gathered(counted.groupBy("host", "layout", "digest").agg(least.alias("x")).select("layout", F.col("digest").alias("_digest"), F.col("host").alias("_host"), F.col("x.page_id").alias("_page"), F.col("x.n").alias("_n")))
+    same = (filled["digest"] == firsts["_digest"]) & (filled["host"] == firsts["_host"]) & filled["page_id"].eqNullSafe(firsts["_page"])
+    found = filled.join(firsts, same).select("host", "layout", "page_id", "digest", "html", "_n")
+    if firsts.filter("_n > 1").isEmpty():
+        return found.select("host", "layout", "page_id", "html")
+    once = found.filter("_n > 1").dropDuplicates(["host", "page_id", "digest"])  # repeated rows
+    return found.filter("_n = 1").union(once).select("host", "layout", "page_id", "html")
 
 
 def references(pages: DataFrame, p: Params) -> DataFrame:
@@ -511,11 +520,11 @@ def count(pages: DataFrame, refs: DataFrame, p: Params) -> DataFrame:
 def main_text(pages: DataFrame, p: Params = Params()) -> DataFrame:
     """(page_id, url, text) of every row of pages (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host().alias("host"))
-    distinct = cut(contents(pages, p))
+    distinct = contents(pages, p)
     refs = cut(references(distinct, p))
     counts = count(distinct, refs, p).groupBy("host", "layout").agg(F.collect_list(F.struct("ref", "node", "pages", "equal", "mass")).alias("counts"))  # a row a reference node
     known = cut(refs.join(counts, ["host", "layout"], "left"))
-    drop_cut(distinct, refs)
+    drop_cut(refs)
     shared = _shared(known, p)
     state: list[Known] = []
 
@@ -532,7 +541,7 @@ def main_text(pages: DataFrame, p: Params = Params()) -> DataFrame:
 
     columns = ["page_id", "url", "host", "html"]
     if not shared:
-        pages, columns = with_layout(pages, p).join(known, ["host", "layout"], "left"), [*columns, "layout", "refs", "counts"]
+        pages, columns = with_layout(pages, columns, p).join(known, ["host", "layout"], "left"), [*columns, "layout", "refs", "counts"]
     return map_rows(pages, columns, "page_id bigint, url string, text string", rows)
 
 
