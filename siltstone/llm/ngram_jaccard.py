@@ -183,11 +183,14 @@ def classes(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame
     common = sc.broadcast(frequent(nodes, ["prefix"], keys, (1,), p.size + 1))
     places = shared_places(nodes, "prefix", common)
     common.unpersist()
-    labels = linked(places, nodes.drop("prefix"), lambda needed: segments(docs, needed, by, p), p)
-    named = cut(nodes.select("node", "sig").join(labels, "node").select("sig", "root"))
-    drop_cut(nodes, places, labels)
+    # prefixes have done their work: what is read from here on is written without them
+    rows, narrow = cut(raw.select("doc_id", "th", "n", "sig")), cut(nodes.drop("prefix"))
+    drop_cut(raw, nodes)
+    labels = linked(places, narrow, lambda needed: segments(docs, needed, by, p), p)
+    named = cut(narrow.select("node", "sig").join(labels, "node").select("sig", "root"))
+    drop_cut(narrow, places, labels)
     by.unpersist()
-    return raw.select("doc_id", "th", "n", "sig"), named
+    return rows, named
 
 
 def _components(rows: DataFrame, labels: DataFrame, least: Column) -> DataFrame:

@@ -35,8 +35,8 @@ from siltstone.llm.textkit import mix, sums
 BITS = 8  # 64-bit words of the parity filter
 WORDS = [f"b{i}" for i in range(BITS)]
 NEEDED = 24  # leading bits that the filter of texts tells apart
-BLOCK = 64  # places of a key in a block
-CROWD = 32  # places of a key, beyond which they carry parity bits
+BLOCK = 512  # places of a key in a block
+CROWD = 4  # places of a key, beyond which they carry parity bits
 SMALL = 160_000  # nodes that may be broadcast, of 200 bytes at most: 32 MB
 
 
