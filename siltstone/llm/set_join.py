@@ -156,14 +156,13 @@ class _Join:
         pairs = self.pairs(others.join(hubs, ["key", "k"]).filter((F.col("a") != F.col("rb")) & near_enough(self.p)))
         return not pairs.isEmpty() and self.count(pairs)
 
-    def all_pairs(self, known: DataFrame) -> DataFrame:
-        """Candidates of different roots at the keys of ``known`` (key, node, n, i, root, c). Places of
-        crowded keys, or all if there is one word of parity bits, carry them, so that pairs which
-        these rule out are never made."""
+    def all_pairs(self, few: DataFrame, known: DataFrame) -> DataFrame:
+        """Candidates of different roots at the keys of ``few``, of CROWD places at most, and of ``known``
+        (key, node, n, i, root, c). The latter carry the parity bits, so that pairs which these rule
+        out are never made; the former too, if there is one word of them."""
         wide = self.side(self.nodes.select("node", *self.bits))
-        if len(self.bits) == 1:
-            return self._at_keys(known.join(wide, "node"), self.bits)
-        return self._at_keys(known.filter(F.col("c") <= CROWD), []).union(self._at_keys(known.filter(F.col("c") > CROWD).join(wide, "node"), self.bits))
+        made = self._at_keys(known.join(wide, "node"), self.bits)
+        return made.union(self._at_keys(few.join(wide, "node"), self.bits) if len(self.bits) == 1 else self._at_keys(few, []))
 
     def _at_keys(self, known: DataFrame, bits: list[str]) -> DataFrame:
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
@@ -185,7 +184,10 @@ def linked(places: DataFrame, nodes: DataFrame, sets_of: Callable[[np.ndarray],
     """(node, root) of every node that links to another. ``nodes`` has (node, sig, th, size, b0, ...): size
     is the number of the node's keys, th the hash of a text that has the set."""
     join, labels = _Join(nodes, sets_of, p), None
-    known, step = places.withColumn("root", F.col("node")), float(np.log(p.per / p.least))
+    step, rooted = float(np.log(p.per / p.least)), places.withColumn("root", F.col("node"))
+    # at keys of few places all pairs are made anyway, so only the others follow the components
+    few, many = rooted.filter(F.col("c") <= CROWD), rooted.filter(F.col("c") > CROWD)
+    known = many
     n, pairs = places.agg(F.count("*"), F.sum((F.col("c") - 1) / 2)).first()
     for _ in range(p.rounds):
         if not n or pairs <= p.linear * n:
@@ -197,13 +199,13 @@ def linked(places: DataFrame, nodes: DataFrame, sets_of: Callable[[np.ndarray],
             break
         labels = cut(components(join.links))
         join.made.append(labels)
-        known = join.keep(_mixed(places, join.side(labels)))
+        known = join.keep(_mixed(many.drop("root"), join.side(labels)))
         apart = known.groupBy("key", "root").agg(F.count("*").alias("r"), F.first("c").alias("c"))
-        n, left = apart.agg(F.sum("r"), F.sum(F.col("r") * (F.col("c") - F.col("r")) / 2)).first()
+        left = apart.agg(F.sum(F.col("r") * (F.col("c") - F.col("r")) / 2)).first()[0]
         if left and 2 * left > pairs:  # few are left that another round would link
             break
         pairs = left or 0
-    rest = join.pairs(join.all_pairs(known))
+    rest = join.pairs(join.all_pairs(few, known))
     if not rest.isEmpty() and join.count(rest) or labels is None:
         labels = cut(components(join.links if join.links is not None else rest.select(F.col("a").alias("u"), F.col("b").alias("v")).limit(0)))
     else:
