@@ -45,11 +45,11 @@ def drop_cut(*dfs: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
 
 
-def gathered(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
-    """A written table of narrow rows, marked for a broadcast where its rows, of 100 bytes at most in
-    memory, stay within ``limit``; else it is joined by a shuffle."""
+def gathered(df: DataFrame, each: int = 100, limit: int = 32 << 20) -> DataFrame:
+    """A written table of narrow rows, marked for a broadcast where its rows, of ``each`` bytes at most
+    in memory, stay within ``limit``; else it is joined by a shuffle."""
     kept = cut(df)
-    return F.broadcast(kept) if kept.count() * 100 <= limit else kept
+    return F.broadcast(kept) if kept.count() * each <= limit else kept
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[dict[str, list]], dict[str, list]], setup: Callable[[], None] | None = None) -> DataFrame:

@@ -213,7 +213,7 @@ def plan(pages: DataFrame, p: Params) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumns({"size": F.length("payload").cast("long"), "digest": F.sha1("payload")})
     firsts = rows.filter(F.col("size") >= p.least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
     again = ~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull() & (F.col("size") >= p.least_revisit)
-    joined = rows.join(gathered(firsts.select("digest", "first")), "digest", "left")
+    joined = rows.join(gathered(firsts.select("digest", "first"), 200), "digest", "left")
     return joined.select("page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "size", F.unhex("digest").alias("digest"), again.alias("revisit"), F.when(again, F.col("first")).alias("refers_to"))
 
 

@@ -424,7 +424,7 @@ def contents(pages: DataFrame, p: Params) -> DataFrame:
     filled = pages.filter(F.octet_length("html") > 0).select("page_id", "html", "host", F.sha2("html", 256).alias("digest"))
     counted = with_layout(filled, ["page_id", "host", "digest"], p).groupBy("host", "layout", "digest", "page_id").agg(F.count("*").alias("n"))
     least = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "n"))
-    firsts = gathered(counted.groupBy("host", "layout", "digest").agg(least.alias("x")).select("layout", F.col("digest").alias("_digest"), F.col("host").alias("_host"), F.col("x.page_id").alias("_page"), F.col("x.n").alias("_n")))
+    firsts = gathered(counted.groupBy("host", "layout", "digest").agg(least.alias("x")).select("layout", F.col("digest").alias("_digest"), F.col("host").alias("_host"), F.col("x.page_id").alias("_page"), F.col("x.n").alias("_n")), 400)
     same = (filled["digest"] == firsts["_digest"]) & (filled["host"] == firsts["_host"]) & filled["page_id"].eqNullSafe(firsts["_page"])
     found = filled.join(firsts, same).select("host", "layout", "page_id", "digest", "html", "_n")
     if firsts.filter("_n > 1").isEmpty():
