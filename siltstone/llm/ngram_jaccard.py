@@ -114,8 +114,10 @@ def described(docs: DataFrame, by: object, p: Params) -> DataFrame:
 
 
 def shared_places(nodes: DataFrame, column: str, common: object, extra: str = "") -> DataFrame:
-    """(key, node, n, i, c): the elements of an array column that several nodes have, with their
-    position from 1. ``common`` is the table of elements that come more than once."""
+    """(key, node, n, i, c, m): the elements of an array column that c > 1 nodes have, with their
+    position from 1. Of m elements that the very same nodes have only the first in the order is kept:
+    it is also the first for any two of them that share none before. ``common`` is the table of
+    elements that come more than once."""
     out = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("i", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +132,10 @@ def shared_places(nodes: DataFrame, column: str, common: object, extra: str = ""
             yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(i)], schema=out)
 
     own = cut(nodes.select("node", "n", column).mapInArrow(run, "key bigint, node bigint, n bigint, i bigint"))
-    shared = own.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    places = cut(own.join(shared, "key"))
+    same = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(name) for seed, name in enumerate("xy")]
+    shared = own.groupBy("key").agg(F.count("*").alias("c"), F.min("i").alias("at"), *same).filter("c > 1")
+    one = shared.groupBy("c", "x", "y").agg(F.min(F.struct("at", "key")).alias("k"), F.count("*").alias("m"))
+    places = cut(own.join(one.select("k.key", "c", "m"), "key"))
     drop_cut(own)
     return places
 
@@ -182,14 +186,14 @@ def classes(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame
 
     common = sc.broadcast(frequent(nodes, ["prefix"], keys, (1,), p.size + 1))
     places = shared_places(nodes, "prefix", common)
-    common.unpersist()
+    common.destroy()
     # prefixes have done their work: what is read from here on is written without them
     rows, narrow = cut(raw.select("doc_id", "th", "n", "sig")), cut(nodes.drop("prefix"))
     drop_cut(raw, nodes)
     labels = linked(places, narrow, lambda needed: segments(docs, needed, by, p), p)
     named = cut(narrow.select("node", "sig").join(labels, "node").select("sig", "root"))
     drop_cut(narrow, places, labels)
-    by.unpersist()
+    by.destroy()  # what was made with it is written
     return rows, named
 
 

@@ -1,12 +1,13 @@
 """Exact links between sets that share a key, without all pairs of a group.
 
 Sets are nodes with 64-bit numbers; ``sig`` is a set's 128-bit digest, and ``n`` its number of
-elements, 64-bit hashes. ``places`` has a row (key, node, n, i, c) for every node at every key that
-c > 1 nodes share; a key may be an n-gram, with i its position in the set's order, or a band of
-MinHash values, with i = 1. Links are pairs with ``per`` * intersection >= ``least`` * union.
+elements, 64-bit hashes. ``places`` has a row (key, node, n, i, c, m) for every node at every key that
+c > 1 nodes share, where a key stands for m keys of the very same nodes; a key may be an n-gram, with
+i its position in the set's order, or a band of MinHash values, with i = 1. Links are pairs with
+``per`` * intersection >= ``least`` * union.
 
 A group of g similar sets has g * g pairs, of which connectivity needs few. So while all pairs
-would be many (``linear`` a place), a round is made first: for each crowded key and size class the
+at crowded keys would be many (``linear`` a place there), a round is made first: for each such key and size class the
 most central set without a link (whose keys are most shared) is paired with the others; what links
 is merged into components. At the end all pairs of different components are made, so no link
 between components is lost. A key of many sets is dealt out in blocks, each block of it against
@@ -86,8 +87,8 @@ def near_enough(p) -> Column:
 
 
 def parity_allows(p, words: int) -> Column:
-    """Parity filter of a pair (na, nb, a0.., b0..): overlap <= (na + nb - difference) / 2."""
-    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, words)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    """Parity filter of a pair (na, nb, pa0.., pb0..): overlap <= (na + nb - difference) / 2."""
+    differ = sum((F.bit_count(F.col(f"pa{i}").bitwiseXOR(F.col(f"pb{i}"))) for i in range(1, words)), F.bit_count(F.col("pa0").bitwiseXOR(F.col("pb0"))))
     size = F.col("na") + F.col("nb")
     return (p.per + p.least) * (size - differ) >= 2 * p.least * size
 
@@ -111,6 +112,9 @@ class _Join:
         """A table of one row a node at most, broadcast where there are few nodes."""
         return F.broadcast(df) if self.small else df
 
+    def words(self, s: str) -> list[Column]:
+        return [F.col(w).alias(f"p{s}{i}") for i, w in enumerate(self.bits)]
+
     def keep(self, df: DataFrame) -> DataFrame:
         self.made.append(df := cut(df))
         return df
@@ -122,8 +126,8 @@ class _Join:
         once = candidates.select(low.alias("x"), high.alias("y")).distinct().select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.col("x.na").alias("na"), F.col("y.na").alias("nb"))
         if self.tried is not None:
             once = once.join(self.tried, ["a", "b"], "left_anti")
-        a = self.nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("th").alias("ta"), *[F.col(w).alias(f"a{i}") for i, w in enumerate(self.bits)])
-        b = self.nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("th").alias("tb"), *self.bits)
+        # names alone tell the two sides apart, so Spark broadcasts them once
+        a, b = (self.nodes.select(F.col("node").alias(s), F.col("sig").alias(f"s{s}"), F.col("th").alias(f"t{s}"), *self.words(s)) for s in "ab")
         both = once.join(self.side(a), "a").join(self.side(b), "b")
         return self.keep(both.filter(parity_allows(self.p, len(self.bits))).select("a", "b", "na", "nb", "sa", "sb", "ta", "tb"))
 
@@ -161,15 +165,15 @@ class _Join:
         (key, node, n, i, root, c). The latter carry the parity bits, so that pairs which these rule
         out are never made; the former too, if there is one word of them."""
         wide = self.side(self.nodes.select("node", *self.bits))
-        made = self._at_keys(known.join(wide, "node"), self.bits)
-        return made.union(self._at_keys(few.join(wide, "node"), self.bits) if len(self.bits) == 1 else self._at_keys(few, []))
+        made = self._at_keys(known.join(wide, "node"), True)
+        return made.union(self._at_keys(few.join(wide, "node"), True) if len(self.bits) == 1 else self._at_keys(few, False))
 
-    def _at_keys(self, known: DataFrame, bits: list[str]) -> DataFrame:
+    def _at_keys(self, known: DataFrame, bits: bool) -> DataFrame:
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-        left = _side(known, "a", "key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.col("root").alias("ra"), *[F.col(w).alias(f"a{i}") for i, w in enumerate(bits)])
-        right = _side(known, "b", "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("root").alias("rb"), *bits)
+        left = _side(known, "a", "key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.col("root").alias("ra"), *(self.words("a") if bits else []))
+        right = _side(known, "b", "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("root").alias("rb"), *(self.words("b") if bits else []))
         fits = (F.col("ra") < F.col("rb")) & near_enough(self.p)
-        return left.join(right, ["key", "block"]).filter(fits & parity_allows(self.p, len(bits)) if bits else fits).select("a", "na", "b", "nb")
+        return left.join(right, ["key", "block"]).filter(fits & parity_allows(self.p, len(self.bits)) if bits else fits).select("a", "na", "b", "nb")
 
 
 def _mixed(places: DataFrame, labels: DataFrame) -> DataFrame:
@@ -188,12 +192,12 @@ def linked(places: DataFrame, nodes: DataFrame, sets_of: Callable[[np.ndarray],
     # at keys of few places all pairs are made anyway, so only the others follow the components
     few, many = rooted.filter(F.col("c") <= CROWD), rooted.filter(F.col("c") > CROWD)
     known = many
-    n, pairs = places.agg(F.count("*"), F.sum((F.col("c") - 1) / 2)).first()
+    n, pairs = many.agg(F.count("*"), F.sum((F.col("c") - 1) / 2)).first()
     for _ in range(p.rounds):
         if not n or pairs <= p.linear * n:
             break
         crowded = known.filter(F.col("c") > p.linear)
-        weight = crowded.groupBy("node").agg(F.sum(F.log2("c")).alias("w")).join(join.side(nodes.select("node", "size")), "node").select("node", (F.col("w") / F.col("size")).cast("float").alias("w"))
+        weight = crowded.groupBy("node").agg(F.sum(F.col("m") * F.log2("c")).alias("w")).join(join.side(nodes.select("node", "size")), "node").select("node", (F.col("w") / F.col("size")).cast("float").alias("w"))
         hot = join.keep(crowded.join(join.side(weight), "node").withColumn("k", F.floor(F.log("n") / step).cast("int")))
         if not join.round(hot):
             break

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import components, decontamination, ngram_jaccard, paragraph_minhash, piece_lattice, reply_trees, set_join, textkit, warc_zstd, wrapper_induction
+from siltstone.llm import components, decontamination, frequency, ngram_jaccard, paragraph_minhash, piece_lattice, reply_trees, set_join, textkit, warc_zstd, wrapper_induction
 
 ODD = [None, "", " ", "one", "two words", "é" * 20_000, "same same " * 4_000]
 
@@ -100,6 +100,29 @@ def test_jaccard_of_empty_and_null_tables_and_the_stage(spark, docs):
     assert kept.count() == 4 and kept.columns == docs([]).columns
 
 
+def test_elements_of_the_very_same_nodes_are_one_place_at_the_first(spark):
+    lists = [(1, 4, [5, 7, 9, 11]), (2, 3, [7, 9, 11]), (3, 2, [11, 13]), (4, 1, [13])]
+    nodes = spark.createDataFrame(lists, "node bigint, n bigint, prefix array<bigint>")
+
+    def keys(column):
+        yield column.flatten().to_numpy().view(np.uint64)
+
+    common = spark.sparkContext.broadcast(frequency.frequent(nodes, ["prefix"], keys, (1,), 16))
+    got = ngram_jaccard.shared_places(nodes, "prefix", common).select("key", "node", "n", "i", "c", "m").collect()
+    assert sorted(map(tuple, got)) == [(7, 1, 4, 2, 2, 2), (7, 2, 3, 1, 2, 2), (11, 1, 4, 4, 3, 1), (11, 2, 3, 3, 3, 1), (11, 3, 2, 1, 3, 1), (13, 3, 2, 2, 2, 1), (13, 4, 1, 1, 2, 1)]
+
+
+def test_keys_of_few_places_do_not_hide_a_crowded_one(spark, monkeypatch):
+    # sizes too far apart for any candidate
+    rows = [(0, k, 2**k, 1, 30, 1) for k in range(30)] + [(k, 100 * k + j, 10 + 990 * j, 1, 2, 1) for k in range(1, 1001) for j in range(2)]
+    places = spark.createDataFrame(rows, "key bigint, node bigint, n bigint, i bigint, c bigint, m bigint")
+    nodes = places.select("node", F.lit(b"").alias("sig"), F.lit(0).cast("long").alias("th"), F.lit(1).alias("size"), F.lit(0).cast("long").alias("b0"))
+    rounds = []
+    monkeypatch.setattr(set_join._Join, "round", lambda self, known: rounds.append(known.count()))
+    assert set_join.linked(places, nodes, lambda needed: None, ngram_jaccard.Params()).count() == 0
+    assert rounds == [30]
+
+
 def test_parity_bounds_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
