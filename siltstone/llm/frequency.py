@@ -58,8 +58,10 @@ def _split(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packs(keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.unique(keys, return_counts=True)
-    cells, bucket = _split(keys, bits)
+    keys.sort()  # in place: a worker holds one copy of them
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.diff(first, append=len(keys))
+    cells, bucket = _split(keys[first], bits)
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     rows = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -98,8 +100,9 @@ def frequent(df: DataFrame, columns: Sequence[str], keys_of: Callable[..., Itera
                 held.append(keys)
                 n += len(keys)
                 if n >= PACK:
-                    yield from _packs(np.concatenate(held), bucket_bits)
-                    held, n = [], 0
+                    whole, held, n = np.concatenate(held), [], 0
+                    yield from _packs(whole, bucket_bits)
+                    del whole
         if n:
             yield from _packs(np.concatenate(held), bucket_bits)
 

@@ -197,7 +197,7 @@ def repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     again = sc.broadcast(frequent(docs, ["text"], keys, (1,), p.size))
     found = cut(candidates(docs, again, p))
-    again.unpersist()
+    again.destroy()
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "th")
     own = found.groupBy("sig").agg(F.first(F.struct("th", "n", "b0", "keys")).alias("x"), F.min(place).alias("place"), F.count("*").alias("copies"))
     nodes = cut(own.select(F.monotonically_increasing_id().alias("node"), "sig", "x.*", "place", "copies").withColumn("size", F.lit(p.bands)))
@@ -207,7 +207,7 @@ def repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     common = sc.broadcast(frequent(nodes, ["keys"], listed, (1,), p.size))
     places = shared_places(nodes, "keys", common)
-    common.unpersist()
+    common.destroy()
     labels = linked(places.withColumn("i", F.lit(1).cast("long")), nodes.select("node", "sig", "th", "n", "b0", "size"), lambda needed: shingles(docs, needed, p), p)
     clusters = nodes.select("node", "sig", "place", "copies").join(labels, "node", "left").withColumn("cluster", F.coalesce("root", "node")).filter("copies > 1 or root is not null")
     first = clusters.groupBy("cluster").agg(F.min("place").alias("kept"))

@@ -7,7 +7,7 @@ i its position in the set's order, or a band of MinHash values, with i = 1. Link
 ``per`` * intersection >= ``least`` * union.
 
 A group of g similar sets has g * g pairs, of which connectivity needs few. So while all pairs
-at crowded keys would be many (``linear`` a place there), a round is made first: for each such key and size class the
+would be many (``linear`` a place, with a key counted m times), a round is made first: for each crowded key and size class the
 most central set without a link (whose keys are most shared) is paired with the others; what links
 is merged into components. At the end all pairs of different components are made, so no link
 between components is lost. A key of many sets is dealt out in blocks, each block of it against
@@ -192,7 +192,7 @@ def linked(places: DataFrame, nodes: DataFrame, sets_of: Callable[[np.ndarray],
     # at keys of few places all pairs are made anyway, so only the others follow the components
     few, many = rooted.filter(F.col("c") <= CROWD), rooted.filter(F.col("c") > CROWD)
     known = many
-    n, pairs = many.agg(F.count("*"), F.sum((F.col("c") - 1) / 2)).first()
+    n, pairs = places.agg(F.sum("m"), F.sum(F.col("m") * (F.col("c") - 1) / 2)).first()
     for _ in range(p.rounds):
         if not n or pairs <= p.linear * n:
             break
@@ -204,8 +204,8 @@ def linked(places: DataFrame, nodes: DataFrame, sets_of: Callable[[np.ndarray],
         labels = cut(components(join.links))
         join.made.append(labels)
         known = join.keep(_mixed(many.drop("root"), join.side(labels)))
-        apart = known.groupBy("key", "root").agg(F.count("*").alias("r"), F.first("c").alias("c"))
-        left = apart.agg(F.sum(F.col("r") * (F.col("c") - F.col("r")) / 2)).first()[0]
+        apart = known.groupBy("key", "root").agg(F.count("*").alias("r"), F.first("c").alias("c"), F.first("m").alias("m"))
+        left = apart.agg(F.sum(F.col("m") * F.col("r") * (F.col("c") - F.col("r")) / 2)).first()[0]
         if left and 2 * left > pairs:  # few are left that another round would link
             break
         pairs = left or 0
